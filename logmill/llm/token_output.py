@@ -21,6 +21,7 @@ harmless.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -33,13 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, wordhash
 
 MAGIC = b"LMPACK01"
 FOOTER = struct.Struct("<IIIQQQQQQ8s")  # bits, vocabulary, block_ids, n_docs, n_ids, n_blocks, at: docs, starts, offsets; magic
 BLOCK_IDS = 8192
-#: Texts tokenised by one call: as many as hold so many characters, one at least.
-ENCODE_CHARS = 1 << 20
 
 _TOKENIZERS: dict = {}
 
@@ -81,7 +80,8 @@ class ShardWriter:
         self.out, self.vocabulary, self.block_ids, self.bits = out, vocabulary, block_ids, bits_for(vocabulary)
         self.docs: list[int | None] = []
         self.starts, self.offsets = [0], [len(MAGIC)]
-        self.rest = np.zeros(0, np.uint32)
+        self.parts: list[np.ndarray] = []
+        self.waiting = 0
         out.write(MAGIC)
 
     def _block(self, ids: np.ndarray) -> None:
@@ -92,15 +92,18 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        self.rest = np.concatenate([self.rest, ids.astype(np.uint32)])
-        whole = len(self.rest) // self.block_ids * self.block_ids
-        for i in range(0, whole, self.block_ids):
-            self._block(self.rest[i : i + self.block_ids])
-        self.rest = self.rest[whole:]
+        self.parts.append(ids)
+        self.waiting += len(ids)
+        if self.waiting >= self.block_ids:
+            rest = np.concatenate(self.parts)
+            whole = len(rest) // self.block_ids * self.block_ids
+            for i in range(0, whole, self.block_ids):
+                self._block(rest[i : i + self.block_ids])
+            self.parts, self.waiting = [rest[whole:]], len(rest) - whole
 
     def close(self) -> None:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.waiting:
+            self._block(np.concatenate(self.parts))
         at = self.offsets[-1]
         n = len(self.docs)
         self.out.write(np.array([d or 0 for d in self.docs], "<i8").tobytes())
@@ -147,16 +150,94 @@ class ShardReader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def encode(path: str, texts: list[str]) -> Iterator[list[int]]:
-    t, batch, size = tokenizer(path), [], 0
-    for text in texts:
-        if batch and size + len(text) > ENCODE_CHARS:
-            yield from (e.ids for e in t.encode_batch_fast(batch, add_special_tokens=False))
-            batch, size = [], 0
-        batch.append(text)
-        size += len(text)
-    if batch:
-        yield from (e.ids for e in t.encode_batch_fast(batch, add_special_tokens=False))
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary.
+
+    Visible Latin-1 characters stand for themselves; the other bytes take the
+    code points from 256 on, in order.
+    """
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: chr(256 + hidden.index(b) if b in hidden else b) for b in range(256)}
+
+
+class Encoder:
+    """tokenizers' ids of whole texts, as little-endian unsigned 32-bit integers.
+
+    Byte-level pre-tokenisation always cuts before a single space, and on both
+    sides of a single line break, that stand between other characters; it also
+    cuts between letters and punctuation.  What lies between such cuts is
+    encoded by the library once and remembered.  A text in which white space
+    meets other white space, or that holds a special token's string, goes to the
+    library whole, as does every text if the tokenizer normalises or
+    pre-tokenises in another way.
+    """
+
+    #: Pieces in a generation of the memory.  When the young one is full it
+    #: becomes the old one, so pieces that come often stay.
+    MOST = 450_000
+    #: ASCII punctuation that may end a word; the apostrophe is left out as it also begins a suffix.
+    MARKS = ".,;:!?*$%&#|()-/\"[]{}<>=+_~@^`"
+
+    def __init__(self, path: str) -> None:
+        self.t = tokenizer(path)
+        how = json.loads(self.t.to_str())
+        pre = how["pre_tokenizer"] or {}
+        self.pieces = not how["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.special = [x["content"] for x in how["added_tokens"]]
+        self.letters = byte_letters()
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _one(self, piece: str) -> bytes:
+        """Ids of letters or marks, with a space before them or none, or of any other piece."""
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                if piece.isalpha() or (piece[0] == " " and piece[1:].isalpha()):  # one pre-token: the model alone does
+                    found = [x.id for x in self.t.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+                    ids = struct.pack(f"<{len(found)}I", *found)
+                else:
+                    ids = self.whole(piece)
+            self.young[piece] = ids
+        return ids
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Make all pieces known that can be encoded alone."""
+        if len(self.young) + len(pieces) > self.MOST:
+            self.young, self.old = {}, self.young
+        for p in pieces.difference(self.young):
+            core = p.removeprefix(" ")
+            if p == "\n" or core and not core[0].isspace() and not core[-1].isspace():
+                word = p.rstrip(self.MARKS)
+                if len(word) < len(p) and word[-1:].isalpha():
+                    self.young[p] = self._one(word) + self._one(p[len(word) :])
+                else:
+                    self._one(p)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the texts' pieces should fit into a generation."""
+        cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if self.pieces and "\0" not in t and not any(s in t for s in self.special) else None for t in texts]
+        self._learn(set().union(*(pieces for pieces in cut if pieces)))
+        out, get = [], self.young.__getitem__
+        for text, pieces in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join(map(get, pieces)) if pieces else self.whole(text))
+            except KeyError:
+                out.append(self.whole(text) if text else b"")
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -176,16 +257,17 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
         head = next(batches, None)
         if head is None:
             return
-        shard = TaskContext.get().partitionId()
+        shard, encode, end = TaskContext.get().partitionId(), encoder(tokenizer_path), struct.pack("<I", end_id)
         fs, path = pafs.FileSystem.from_uri(folder)
         name, attempt = f"{path}/shard-{shard:06d}.ids", f"{path}/.{shard:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(attempt) as out:
             w = ShardWriter(out, tokenizer(tokenizer_path).get_vocab_size(), block_ids)
             batch = head
             while batch is not None:
-                ids = batch.column("doc_id").to_pylist()
-                for doc_id, got in zip(ids, encode(tokenizer_path, batch.column("text").to_pylist()), strict=True):
-                    w.add(doc_id, np.array([*got, end_id], np.uint32))
+                for a, b in wordhash.slices(batch.column("text")):
+                    part = batch.slice(a, b - a)
+                    for doc_id, got in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
+                        w.add(doc_id, np.frombuffer(got + end, "<u4"))
                 batch = next(batches, None)
             w.close()
         fs.move(attempt, name)
