@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, embedding_dedup, line_dedup, mixing, token_output
+from . import common, decontamination, embedding_dedup, line_dedup, mixing, pii, token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_embedding_dedup": embedding_dedup.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_pii": pii.query,
     "op9_decontamination": decontamination.query,
     "op10_mixing": mixing.query,
 }
