@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, embedding_dedup, line_dedup, mixing, pii, token_output
+from . import common, decontamination, embedding_dedup, line_dedup, mixing, ngram_join, pii, token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": embedding_dedup.query,
     "op6_line_dedup": line_dedup.query,
     "op7_pii": pii.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_decontamination": decontamination.query,
     "op10_mixing": mixing.query,
 }
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op8_ngram_join": ngram_join.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
 }
