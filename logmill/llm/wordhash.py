@@ -33,6 +33,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _IS_WORD, _VALUES = _tables()
+#: Bytes of a token: anything but ASCII white space.
+IS_TOKEN = ~np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -78,11 +80,14 @@ def slices(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         start = end
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a buffer and, for each row, the offset of its first word."""
+def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a buffer and, for each row, the offset of its first word.
+
+    inside tells for each byte whether it belongs to a word.
+    """
     out: list[np.ndarray] = []
     starts_at: list[np.ndarray] = []
-    flags = _IS_WORD[raw]
+    flags = inside[raw]
     ends = offsets[1:-1]
     n, begin = len(raw), 0
     while begin < n:
