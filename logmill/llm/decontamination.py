@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     Columns of docs beside `keep` and text are ignored, whatever their names.
     """
     keep = ["doc_id"] if keep is None else keep
-    rows, slices = docs.select(*keep, "text"), item_slices(benchmark, slice_bytes)
+    rows, slices = docs.select(*keep, F.col("text").alias("_text_")), item_slices(benchmark, slice_bytes)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
     part = next(slices, [])
     while True:
@@ -135,7 +135,7 @@ def scanner(spark: SparkSession, items: list[tuple[str, str]], window: int, last
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         a, names = automaton(key, shared.value, window), [name for name, _ in shared.value]
-        at = batch.schema.names.index("text")
+        at = batch.schema.names.index("_text_")
         before = zip(batch.column("hit").to_pylist(), batch.column("items").to_pylist(), strict=True) if "hit" in batch.schema.names[at:] else None
         counts, hits, who, spans = [], [], [], []
         for text in batch.column(at):

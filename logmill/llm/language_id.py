@@ -196,16 +196,16 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     def each(batches):
         m = shared.value
         for batch in batches:
-            for a, b in wordhash.slices(batch.column("text")):
+            for a, b in wordhash.slices(batch.column(len(keep))):
                 part = batch.slice(a, b - a)
-                letters = [has_letter(t.as_py()) for t in part.column("text")]
-                best, score = m.predict(part.column("text")) if m else (np.zeros(b - a, int), np.zeros(b - a))
+                letters = [has_letter(t.as_py()) for t in part.column(len(keep))]
+                best, score = m.predict(part.column(len(keep))) if m else (np.zeros(b - a, int), np.zeros(b - a))
                 fine = np.array(letters, bool) & (m is not None)
                 score = np.where(fine, score, 0.0)
                 lang = [m.languages[i] if f else UNKNOWN for i, f in zip(best, fine, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score), pa.array(~fine | (score < (m.threshold if m else 0)))], names=[*keep, "lang_pred", "score", "rejected"])
 
-    return docs.select(*keep, "text").mapInArrow(each, ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
+    return docs.select(*keep, F.col("text").alias("_text_")).mapInArrow(each, ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,9 @@ level 1, 2, ... until one is missing.  The filter is built in segments, each by
 one task from the n-grams whose hash falls into it, and broadcast.
 
 The size of the filter is bounded: where the n-grams would not fit, the least
-count of bigrams, then that of unigrams, rises.  Smoothed probabilities mix the
-bigram's share of its history's count with the unigram's, the more of the
-former the more often the history was seen.
+count of bigrams, then that of unigrams, rises.  The smoothed probability of a
+token is w * s + (1 - w * s) * u: s the bigram's share of its history's count, w
+the history's count over itself plus a constant, u the unigram's probability.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased, then one end
 of text, and are known by a 64-bit hash.
@@ -99,11 +99,15 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "n byte, hash long, c long").groupBy("n", "hash").agg(F.sum("c").alias("c"))
 
 
-def _probes(h: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """Bit positions of (n-gram, level) inside the n-gram's segment of the filter."""
-    x = wordhash.mix64(h + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
-    y = wordhash.mix64(x + np.uint64(1)) | np.uint64(1)
-    return [((x + np.uint64(i) * y) >> np.uint64(20)) % np.uint64(bits) for i in range(PROBES)]
+def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of (n-gram, level), from which all its probes follow."""
+    x = wordhash.mix64(h + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return x, wordhash.mix64(x + np.uint64(1)) | np.uint64(1)
+
+
+def _probe(x: np.ndarray, y: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The i-th bit position inside the n-gram's segment."""
+    return ((x + np.uint64(i) * y) >> np.uint64(20)) % np.uint64(bits)
 
 
 def _segment(h: np.ndarray) -> np.ndarray:
@@ -119,35 +123,18 @@ class Filter:
     least: dict[int, int]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        live = np.arange(len(h))
+        """For each n-gram the levels found from 1 on, without a gap."""
+        out, live = np.zeros(len(h), np.int64), np.arange(len(h))
         base = _segment(h) * np.uint64(self.bits)
-        level = 1
-        while len(live) and level <= 60:
-            for p in _probes(h[live], level, self.bits):
-                if level == 1 and len(live) == len(h):
-                    at = base + p
-                else:
-                    at = base[live] + p
+        for level in range(1, 64):
+            x, y = _seeds(h[live], level)
+            for i in range(PROBES):
+                at = base[live] + _probe(x, y, i, self.bits)
                 hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                if level == 1 and len(live) == len(h):
-                    pass
-                keep = np.flatnonzero(hit)
-                if len(keep) < len(live):
-                    live = live[keep]
-                    break
-            else:
-                out[live] = level
-                level += 1
-                continue
-            # some probe missed: the rest of this level's probes for those left
-            ok = np.ones(len(live), bool)
-            for p in _probes(h[live], level, self.bits):
-                at = base[live] + p
-                ok &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            live = live[ok]
+                live, x, y = live[hit], x[hit], y[hit]
+            if not len(live):
+                break
             out[live] = level
-            level += 1
         return out
 
     def counts(self, h: np.ndarray, order: int) -> np.ndarray:
@@ -176,7 +163,7 @@ def build_filter(counts: DataFrame, most: int = FILTER_BYTES, least_bigram: int
 
     def fill(batches):
         held: dict[int, np.ndarray] = {}
-        last = None
+        last = None  # rows come by segment, so one segment's bits are held at a time
         for batch in batches:
             seg, h, lv = (batch.column(i).to_numpy() for i in range(3))
             for s in np.unique(seg):
@@ -186,8 +173,9 @@ def build_filter(counts: DataFrame, most: int = FILTER_BYTES, least_bigram: int
                 mine = held.setdefault(last, np.zeros(bits, bool))
                 own, levels = h[seg == s].view(np.uint64), lv[seg == s]
                 for k in range(1, int(levels.max()) + 1):
-                    for p in _probes(own[levels >= k], k, bits):
-                        mine[p] = True
+                    x, y = _seeds(own[levels >= k], k)
+                    for i in range(PROBES):
+                        mine[_probe(x, y, i, bits)] = True
         for s, mine in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
@@ -219,7 +207,6 @@ def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTE
     keys = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((build_filter(counts, filter_bytes), keys[order], top["c"].to_numpy()[order]))
-    below = ADDED + 0.0
     norm = total + ADDED * (distinct + 1)
 
     def each(batches):
@@ -231,19 +218,17 @@ def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTE
                 t, at = tokens(piece.column("text"))
                 place = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
                 found = known[place] == t if len(known) else np.zeros(len(t), bool)
-                c = np.where(found, known_counts[place], 0) if len(known) else np.zeros(len(t))
-                base = np.where(found, np.log10((c + below) / norm), 0.0)
-                uni = (np.where(found, c, model.counts(t, 1)) + below) / norm
-                h = history(t, at)
-                seen = np.ones(len(t), np.float64)
-                seen[1:] = np.where(found[:-1], c[:-1], model.counts(t, 1)[:-1] if not found.all() else 0)
-                seen = np.where(h == _START, np.nan, seen)
-                pair = model.counts(bigrams(t, at), 2)
-                starts = model.counts(np.array([_END]), 1)[0]  # a text starts as often as one ends
-                seen = np.where(np.isnan(seen), starts, seen)
-                share = np.minimum(pair / np.maximum(seen, 1), 1.0)
+                exact = np.where(found, known_counts[place], 0) if len(known) else np.zeros(len(t))
+                base = np.where(found, np.log10((exact + ADDED) / norm), 0.0)
+                c = np.where(found, exact, 0.0)
+                c[~found] = model.counts(t[~found], 1)
+                uni = (c + ADDED) / norm
+                seen = np.empty(len(t))  # how often the token before was seen; a text starts as often as one ends
+                seen[1:] = c[:-1]
+                seen[at[:-1]] = c[at[1:] - 1]
+                share = np.minimum(model.counts(bigrams(t, at), 2) / np.maximum(seen, 1), 1.0)
                 weight = seen / (seen + UNIGRAM_WEIGHT)
-                log = np.log10(weight * share * (1 - 1e-6) + (1 - weight + weight * np.maximum(0, 1 - share) * 0.5) * uni)
+                log = np.log10(weight * share + (1 - weight * share) * uni)
                 starts_at = at[:-1]
                 rare = [np.unique(t[x:y][~found[x:y]]) if not found[x:y].all() else None for x, y in zip(starts_at, at[1:], strict=True)]
                 times = [None if r is None else np.bincount(np.searchsorted(r, t[x:y][~found[x:y]])).tolist() for r, x, y in zip(rare, starts_at, at[1:], strict=True)]
@@ -260,7 +245,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTE
     rare = first.where("rare is not null").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     rare = rare.join(ones.where(F.floor(8 * F.log2(F.col("c").cast("double"))) < cut).select("hash", "c"), "hash", "left")
     c = F.coalesce("c", F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_more"), F.sum(F.col("times") * F.log10((c + F.lit(below)) / F.lit(norm))).alias("base_more"))
+    more = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_more"), F.sum(F.col("times") * F.log10((c + F.lit(ADDED)) / F.lit(norm))).alias("base_more"))
     both = first.drop("rare", "times").join(more, "row", "left")
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), "score")
 

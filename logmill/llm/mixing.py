@@ -112,7 +112,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     anything but `[\\x20\\x09-\\x0D]`; 0 if the text is null), source_size, target
     (its source's), copies and taken (copies * size).  A null source is a source
     of its own.  Rows without words come 0 times.  Rows equal in doc_id, text
-    and source are told apart by their number among their like.  No rows give no
+    and source are told apart by tie, their number among `alike` ones.  No rows give no
     rows; other columns are ignored.
     """
     words = F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
@@ -121,13 +121,28 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     # repeated rows are counted, not listed, and told apart again below
     alike = rows.groupBy("doc_id", "th", "source", "size").agg(F.count("*").cast("int").alias("alike"))
     t = targets.withColumnRenamed("source", "name")
-    each = alike.join(t, alike.source.eqNullSafe(t.name)).drop("name").withColumn("tie", F.explode(F.sequence(F.lit(1), "alike"))).drop("alike")
+    each = alike.join(t, alike.source.eqNullSafe(t.name)).drop("name").withColumn("tie", F.explode(F.sequence(F.lit(1), "alike")))
     each = each.withColumn("rate", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     each = common.written(each.withColumns({"whole": F.floor("rate").cast("int"), "p": F.col("rate") - F.floor("rate"), "id": F.struct("doc_id", "th", "source")}), "rates")
     drawn = pivotal(each.where("p > 0").select("source", "size", "id", "tie", "p"), seed).select(F.col("id.doc_id").alias("d"), F.col("id.th").alias("h"), F.col("id.source").alias("s"), F.col("tie").alias("n"), "take")
     both = each.join(drawn, each.doc_id.eqNullSafe(drawn.d) & (each.th == drawn.h) & each.source.eqNullSafe(drawn.s) & (each.tie == drawn.n), "left")
     copies = (F.col("whole") + F.coalesce("take", F.lit(0))).cast("long")
-    return both.select("doc_id", "th", "source", "tie", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return both.select("doc_id", "th", "source", "tie", "alike", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, as often as mix() takes them.
+
+    Of rows equal in doc_id, text and source, one comes for all of them.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "th", "source").agg(F.sum("copies").cast("int").alias("_n"), F.first("alike").alias("_alike")).where("_n > 0")
+    taken = common.written(taken.withColumnsRenamed({"doc_id": "_d", "th": "_h", "source": "_s"}), "taken")
+    names = [f"`{c}`" for c in docs.columns]
+    rows = docs.withColumn("_th", F.xxhash64("text"))
+    small = F.broadcast(taken) if taken.count() * 100 <= common.BROADCAST_BYTES else taken
+    rows = rows.join(small, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["_th"] == F.col("_h")) & rows["source"].eqNullSafe(F.col("_s")))
+    one = rows.where("_alike = 1").unionByName(rows.where("_alike > 1").dropDuplicates(["doc_id", "_th", "source"]))
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

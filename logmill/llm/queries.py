@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, token_output
+from . import common, decontamination, embedding_dedup, html_extraction, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, token_output
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_html_extraction": html_extraction.query,
     "op3_embedding_dedup": embedding_dedup.query,
     "op4_language_id": language_id.query,
     "op5_lm_scoring": lm_scoring.query,
