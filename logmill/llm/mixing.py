@@ -81,24 +81,24 @@ def pivotal(units: DataFrame, seed: int = 0) -> DataFrame:
     The sizes taken of a source sum to the sum of size * p but for the size of
     one row.  p is in (0, 1), size above 0.
     """
-    n = common.partitions(units.sparkSession)
-    level, out = 0, None
+    order = [F.col("source"), F.col("size").desc(), F.col("u")]
     units = units.select("source", "size", F.struct("id", "tie").alias("u"), "p")
+    dealt = units.repartitionByRange(common.partitions(units.sparkSession), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    # rows lie sorted by (source, size): neighbours make a chunk, which stays in its source
+    units = dealt.withColumns({"part": F.shiftright("at", 33), "chunk": F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK)})
+    level, out = 0, None
     while True:
-        order = [F.col("source"), F.col("size").desc(), F.col("u")]
-        dealt = units.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-        # rows lie sorted by (source, size): neighbours make a chunk, which stays in its source
-        chunk = dealt.groupBy("source", F.shiftright("at", 33).alias("part"), F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK).alias("chunk"))
-        chains = chunk.agg(F.array_sort(F.collect_list(F.struct("at", "u", "size", "p"))).alias("units"))
-        ran = common.written(chains.select("source", _chain(F.col("units"), seed, level).alias("c")), "mix")
+        # what each chunk has left meets first that of its part of the order, then that of other parts
+        chains = units.groupBy("source", "part", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "u", "size", "p"))).alias("units"))
+        ran = common.written(chains.select("source", "part", "chunk", F.element_at("units", 1)["at"].alias("at"), _chain(F.col("units"), seed, level).alias("c")), "mix")
         done = ran.select(F.explode("c.done").alias("d")).select("d.u.id", "d.u.tie", "d.take")
         out = done if out is None else out.union(done)
-        units = ran.select("source", "c.left.size", "c.left.u", "c.left.p")
-        counts = units.groupBy("source").count().agg(F.max("count"), F.sum("count")).head()
+        units = ran.select("source", "part", "chunk", "at", "c.left.size", "c.left.u", "c.left.p")
+        chunk, part = units.agg(F.max("chunk"), F.max("part")).head()
         level += 1
-        if counts[0] is None or counts[0] <= 1:
+        if not chunk and not part:
             break
-        n = max(1, min(n, counts[1] // (4 * CHUNK)))
+        units = units.withColumn("chunk", F.floor(F.col("chunk") / CHUNK)) if chunk else units.withColumn("part", F.floor(F.col("part") / CHUNK))
     r = F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), "u"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     # what adds up to a whole number but for rounding is taken as such
     last = F.when(F.col("p") > 1 - 1e-9, 1).when(F.col("p") < 1e-9, 0).otherwise((r < F.col("p")).cast("int"))
