@@ -168,13 +168,13 @@ def test_mixing(spark, docs):
 
 
 def test_html(spark):
-    page = "<html><head><title>t</title></head><body><header>H</header><nav>m</nav><div class='ad x'>buy</div><article><h1>A &amp; {0}</h1><p>one<br>two\n {0}<p>three <b>bold</b>er</p><div class=comments><p>me too</p></div></article><div id=share>s</div><footer>f</footer>"
+    page = "<html><head><title>t</title></head><body><header>H</header><nav>m</nav><div class='ad x'>buy</div><article><h1>A &amp; {0}</h1><p>one<br>two\n {0}<p>three <b>bold</b>er</p><h2>Follow us</h2><div class=comments><p>me too</p></div></article><div id=share>s</div><footer>f</footer>"
     rows = [(i, f"http://h.example/{i}", page.format(i), "c") for i in range(6)] + [(7, None, None, ""), (8, "http://x/", "", ""), (9, "x", "<p>only " + "<div>" * 2000 + "deep", ""), (10, "http://y/", "<b>un<i>closed &lt; 1", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, wrapper string")
     got = {r.page_id: r for r in html_extraction.extract(df).collect()}
-    assert got[3].text == "A & 3\none two 3" and got[3].n_chars == 15  # the third block is the same on all pages
+    assert got[3].text == "A & 3\none two 3\nthree bolder" and got[3].n_chars == 28  # the second heading is the same on all pages
     assert [got[i].text for i in (7, 8, 10)] == ["", "", "unclosed < 1"] and "deep" in got[9].text
-    assert html_extraction.main_text(page.format(1), None, []) == "A & 1\none two 1\nthree bolder"
+    assert html_extraction.main_text(page.format(1), None, []) == "A & 1\none two 1\nthree bolder\nFollow us"
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
