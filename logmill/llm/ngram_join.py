@@ -162,9 +162,9 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     of all its words.  A null text or one without words links with nothing.
     Returns for each row: doc_id, th (xxhash64 of its text), n_links (other rows
     linked directly, those of equal words included), class_id (least doc_id of
-    equal words), group_id (least doc_id reachable by links), kept and alike:
-    kept is true for the rows of one (doc_id, th) of each group, of which there
-    are `alike` equal ones, null doc_ids last.  Rows that share a doc_id count
+    equal words), group_id (least doc_id reachable by links), kept (true for the
+    rows of one (doc_id, th) of each group, null doc_ids last) and linked (false
+    for rows without words).  Rows that share a doc_id count
     each for itself; a group whose doc_ids are all null has a null group_id.
     No rows give no rows; other columns are ignored.
     """
