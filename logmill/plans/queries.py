@@ -230,9 +230,9 @@ def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.to_json(F.struct(F.array(entry).alias("logs"))).alias("value"))
 
 
-@query(f"select id, case when id % 5 = 0 then 'invalid level: ''fatal''' when id % 7 = 0 then 'message must be a non-empty string' end as reason, case when id % 5 <> 0 then level_code end as level_code, service, replace(attributes, ' ', '') as attributes from {LOGS_SQL}")
+@query(f"select id, case when id % 5 = 0 then 'invalid level: ''fatal''' when id % 7 = 0 then 'message must be a non-empty string' end as reason, case when id % 5 <> 0 then level_code else -1 end as level_code, service, replace(attributes, ' ', '') as attributes from {LOGS_SQL}")
 def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.validate(ingest.entries(_wire(spark, sf_dir)), LATER).select("id", "reason", "level_code", "service", "attributes")
+    return validate.validate(ingest.entries(_wire(spark, sf_dir)), LATER).select("id", "reason", F.coalesce("level_code", F.lit(-1)).alias("level_code"), "service", "attributes")
 
 
 @query(f"select count(*) filter (id % 5 <> 0 and id % 7 <> 0) as accepted, count(*) filter (id % 5 = 0 or id % 7 = 0) as rejected from {LOGS_SQL}")
