@@ -20,6 +20,7 @@ harmless.
 
 from __future__ import annotations
 
+import gc
 import io
 import json
 import struct
@@ -240,6 +241,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Give up what this worker remembers of tokenising; reused workers would keep it through all later jobs."""
+    if _ENCODERS or _TOKENIZERS:
+        _ENCODERS.clear()
+        _TOKENIZERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise docs (doc_id, text) and write shards to folder, a URI that pyarrow can write.
 
@@ -271,6 +281,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
                 batch = next(batches, None)
             w.close()
         fs.move(attempt, name)
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.ids"], "n_docs": [len(w.docs)], "n_ids": [w.starts[-1]]})
 
     fs, path = pafs.FileSystem.from_uri(folder)
@@ -286,6 +297,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        release()  # all shards are written by now
         parts = []
         for shard, path, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "base")), strict=True):
             fs, at = pafs.FileSystem.from_uri(path)

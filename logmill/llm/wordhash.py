@@ -35,17 +35,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _IS_WORD, _VALUES = _tables()
 #: Bytes of a token: anything but ASCII white space.
 IS_TOKEN = ~np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    size = 1 << max(10, (n - 1).bit_length())
-    if size not in _POWERS:
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each; only the longest are kept."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = -(-n // (1 << 16)) << 16
         forth, back = np.full(size, _BASE), np.full(size, _BASE_INV)
         forth[0] = back[0] = 1
-        _POWERS[size] = np.multiply.accumulate(forth), np.multiply.accumulate(back)
-    return _POWERS[size]
+        _POWERS[:] = np.multiply.accumulate(forth), np.multiply.accumulate(back)
+    return _POWERS
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
