@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def block_pairs(rows: DataFrame, group: list[str], key: str, weight: str, most: int) -> DataFrame:
+def block_pairs(rows: DataFrame, group: list[str], key: str, weight: str | Column, most: int) -> DataFrame:
     """rows once for each pair of blocks of its group: plus blk (its own), bi and bj (bi <= bj).
 
     A group has blocks enough that each weighs about `most`; rows are dealt to

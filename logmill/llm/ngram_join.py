@@ -28,10 +28,11 @@ RECALL = 0.9999
 SLACK = 0.2
 #: Classes in a band's bucket that are compared by signature; a larger bucket becomes one cluster.
 BUCKET = 1000
-#: Shingles in a block of a cluster.
-BLOCK_SHINGLES = 1 << 20
+#: Shingles in a block of a cluster; a text counts for LEAST_SHINGLES at least, which bounds a block's members too.
+BLOCK_SHINGLES = 1 << 19
+LEAST_SHINGLES = 1 << 8
 #: Distinct shared shingles that a bit set holds at a time.
-BITS = 1 << 15
+BITS = 1 << 13
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -118,25 +119,40 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("copies"), part.column("cluster"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "copies", "cluster", "n", "set"])
 
 
+def _uint64(sets: pa.ChunkedArray) -> np.ndarray:
+    """The numbers of all sets in turn, as the column holds them."""
+    parts = [wordhash.buffers(c)[0] for c in sets.chunks]
+    return np.concatenate(parts).view(np.uint64)
+
+
+def _shared(every: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many values come more than once, and each value's number among those, -1 where it comes once."""
+    order = np.argsort(every)
+    values = every[order]
+    new = np.ones(len(values) + 1, bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:-1])
+    first = new[:-1] & ~new[1:]
+    run = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    run[new[:-1] & new[1:]] = -1
+    number = np.empty(len(values), np.int32)
+    number[order] = run
+    return int(first.sum()), number
+
+
 def _verify(threshold: float):
     def each(batches):
         for t in common.groups(batches, ["cluster", "bi", "bj"]):
             blk, bi, bj = t["blk"].to_numpy(), t["bi"][0].as_py(), t["bj"][0].as_py()
             links = Links(t["key"].to_pylist(), t["copies"].to_numpy())
             sizes = t["n"].to_numpy()
-            every = np.frombuffer(b"".join(t["set"].to_pylist()), np.uint64)
-            _, which, df = np.unique(every, return_inverse=True, return_counts=True)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            shared = np.flatnonzero(df > 1)  # what one member holds is in no intersection
-            place = np.full(len(df), -1)
-            place[shared] = np.arange(len(shared))
-            column = place[which]
-            owner, column = owner[column >= 0], column[column >= 0]
+            shared, column = _shared(_uint64(t["set"]))  # what one member holds is in no intersection
+            owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[column >= 0]
+            column = column[column >= 0]
             mine, others = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
             inter = np.zeros((len(mine), len(others)), np.int32)
-            for start in range(0, len(shared), BITS):
+            for start in range(0, shared, BITS):
                 now = (column >= start) & (column < start + BITS)
-                width = min(BITS, len(shared) - start)
+                width = min(BITS, shared - start)
                 bits = np.zeros((len(sizes), -(-width // 64) * 8), np.uint8)
                 c = column[now] - start
                 np.bitwise_or.at(bits, (owner[now], c >> 3), (1 << (c & 7)).astype(np.uint8))
@@ -196,7 +212,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     sets = texts.select("key", "copies", "cluster", "text").mapInArrow(_sets, "key string, copies long, cluster string, n long, set binary")
     sets = common.written(sets, "sets")
     sets = sets.join(sets.groupBy("key").count().where("count > 1").select("key"), "key", "left_anti").unionByName(sets.join(sets.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").dropDuplicates(["key"]))
-    found = common.written(block_pairs(sets, ["cluster"], "key", "n", BLOCK_SHINGLES).mapInArrow(_verify(threshold), LINKS), "links")
+    found = common.written(block_pairs(sets, ["cluster"], "key", F.greatest("n", F.lit(LEAST_SHINGLES)), BLOCK_SHINGLES).mapInArrow(_verify(threshold), LINKS), "links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("key").alias("a"), F.explode("edges").alias("b")))
 
