@@ -71,12 +71,17 @@ class Links:
 LINKS = "key string, links long, edges array<string>"
 
 
+#: Edges in a file of components() at least, so that few edges don't make many files.
+FILE_EDGES = 1 << 14
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the least node reachable) of every node in edges (a, b).
 
     Large-star and small-star steps in turn hang all neighbours of a node on
     the least of them, until nothing moves: about log(longest path) rounds, each
-    linear in the edges.  Every round is written to the work folder.
+    linear in the edges.  Every round is written to the work folder, in files that
+    the number of edges before it sets.
     """
     e = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
 
@@ -90,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = common.written(near.union(least.select("u", "m")).distinct(), "edges")
+        new = common.written(near.union(least.select("u", "m")).distinct().coalesce(now[0] // FILE_EDGES + 1), "edges")
         common.forget(e)
         e, before, now = new, now, state(new)
         if now == before:
