@@ -79,17 +79,18 @@ def pivotal(units: DataFrame, seed: int = 0) -> DataFrame:
     """0 or 1 for each row of (source, size, id, tie, p), in expectation p, as id, tie, take.
 
     The sizes taken of a source sum to the sum of size * p but for the size of
-    one row.  p is in (0, 1), size above 0.
+    one row.  p is in (0, 1), size above 0.  Runs with the same rows, seed and
+    number of shuffle partitions agree, however the rows lie.
     """
     order = [F.col("source"), F.col("size").desc(), F.col("u")]
     units = units.select("source", "size", F.struct("id", "tie").alias("u"), "p")
-    dealt = units.repartitionByRange(common.partitions(units.sparkSession), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    # rows lie sorted by (source, size): neighbours make a chunk, which stays in its source
+    # dealt by hash: ranges are drawn from a sample, which differs between runs
+    dealt = units.repartition(common.partitions(units.sparkSession), "u").sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     units = dealt.withColumns({"part": F.shiftright("at", 33), "chunk": F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK)})
     level, out = 0, None
     while True:
         # what each chunk has left meets first that of its part of the order, then that of other parts
-        chains = units.groupBy("source", "part", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "u", "size", "p"))).alias("units"))
+        chains = units.groupBy("source", "part", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("below"), "at", "u", "size", "p"))).alias("units"))
         ran = common.written(chains.select("source", "part", "chunk", F.element_at("units", 1)["at"].alias("at"), _chain(F.col("units"), seed, level).alias("c")), "mix")
         done = ran.select(F.explode("c.done").alias("d")).select("d.u.id", "d.u.tie", "d.take")
         out = done if out is None else out.union(done)
