@@ -3,13 +3,16 @@
 Unigrams and bigrams of the training texts are counted exactly.  A count c of an
 n-gram is quantised to 1 + floor(log2(c / least)) levels; the n-gram enters a
 Bloom filter once for each level, and its level is read back by probing for
-level 1, 2, ... until one is missing.  The filter is built in segments, each by
-one task from the n-grams whose hash falls into it, and broadcast.
+level 1, 2, ... until one is missing.  The filter is built in segments, by the
+n-grams whose hash falls into them, and grows with the n-grams at fixed least
+counts.
 
-The size of the filter is bounded: where the n-grams would not fit, the least
-count of bigrams, then that of unigrams, rises.  The smoothed probability of a
-token is w * s + (1 - w * s) * u: s the bigram's share of its history's count, w
-the history's count over itself plus a constant, u the unigram's probability.
+A small filter is broadcast.  A larger one is probed by segment: texts are dealt
+into chunks, each chunk asks each segment for its distinct n-grams, and the levels
+go back to the chunk.  Both ways give the same scores.  The smoothed probability
+of a token is w * s + (1 - w * s) * u: s the bigram's share of its history's
+count, w the history's count over itself plus a constant, u the unigram's
+probability.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased, then one end
 of text, and are known by a 64-bit hash.
@@ -21,18 +24,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-#: Most bytes of the filter.
+#: Most bytes of a filter that is broadcast; a larger one is probed by segment.
 FILTER_BYTES = 48 << 20
 BITS_EACH = 12
 PROBES = 4
-SEGMENTS = 64
-#: Least count of a bigram in the filter where all fit.
+SEGMENTS = 1024
+#: Bytes of a segment's pieces that a task holds before it passes them on.
+PIECE_BYTES = 32 << 20
+#: Bytes of the texts that ask the segments together, about.
+CHUNK_BYTES = 8 << 20
+#: Least count of a bigram in the filter.
 LEAST_BIGRAM = 2
 #: Weight of the unigram, in occurrences of the history.
 UNIGRAM_WEIGHT = 4.0
@@ -95,8 +103,11 @@ def _count(batches):
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """n, hash and count of every unigram and bigram of docs' texts."""
-    return docs.select("text").mapInArrow(_count, "n byte, hash long, c long").groupBy("n", "hash").agg(F.sum("c").alias("c"))
+    """n, hash and count of every unigram and bigram of docs' texts; those of a segment lie in one partition."""
+    # a hash of 64 bits is unsigned here: its upper half names the segment
+    segment = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(SEGMENTS)).cast("int").alias("segment")
+    parts = docs.select("text").mapInArrow(_count, "n byte, hash long, c long").select(segment, "n", "hash", "c").repartition("segment")
+    return parts.groupBy("segment", "n", "hash").agg(F.sum("c").alias("c")).drop("segment")
 
 
 def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,78 +125,146 @@ def _segment(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)) % np.uint64(SEGMENTS)
 
 
+def _levels(data: np.ndarray, base: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """For each n-gram the levels found from 1 on, without a gap; base is its segment's first bit in data."""
+    out, live = np.zeros(len(h), np.int64), np.arange(len(h))
+    for level in range(1, 64):
+        x, y = _seeds(h[live], level)
+        for i in range(PROBES):
+            at = base[live] + _probe(x, y, i, bits)
+            hit = (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            live, x, y = live[hit], x[hit], y[hit]
+        if not len(live):
+            break
+        out[live] = level
+    return out
+
+
+def _middle(level: np.ndarray, order: int, least_bigram: int) -> np.ndarray:
+    """The middle of the counts that share a level; 0 for level 0."""
+    least = least_bigram if order == 2 else 1
+    return np.where(level > 0, least * 2.0 ** (level - 1) * np.where((level > 1) | (least > 1), 1.4, 1.0), 0.0)
+
+
 @dataclass
 class Filter:
-    """Bits of all segments, and the least count of n-grams of each order in it."""
+    """Bits of all segments."""
 
     data: np.ndarray  # uint8, SEGMENTS * bits / 8
     bits: int  # of a segment
-    least: dict[int, int]
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """For each n-gram the levels found from 1 on, without a gap."""
-        out, live = np.zeros(len(h), np.int64), np.arange(len(h))
-        base = _segment(h) * np.uint64(self.bits)
-        for level in range(1, 64):
-            x, y = _seeds(h[live], level)
-            for i in range(PROBES):
-                at = base[live] + _probe(x, y, i, self.bits)
-                hit = (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                live, x, y = live[hit], x[hit], y[hit]
-            if not len(live):
-                break
-            out[live] = level
-        return out
-
-    def counts(self, h: np.ndarray, order: int) -> np.ndarray:
-        """The middle of the counts that share an n-gram's level; 0 for n-grams that aren't in the filter."""
-        level = self.levels(h)
-        return np.where(level > 0, self.least[order] * 2.0 ** (level - 1) * np.where((level > 1) | (self.least[order] > 1), 1.4, 1.0), 0.0)
-
-
-def build_filter(counts: DataFrame, most: int = FILTER_BYTES, least_bigram: int = LEAST_BIGRAM) -> Filter:
-    """The filter of count_ngrams()' table."""
-    # n-grams by order and rounded-down power of 2 of their count: at most 2 * 63 rows
-    sizes = counts.groupBy("n", F.floor(F.log2(F.col("c").cast("double"))).cast("int").alias("p")).count().collect()
-    least = {1: 1, 2: least_bigram}
-
-    def entries() -> int:
-        return sum(r["count"] * (r["p"] - int(np.log2(least[r["n"]])) + 1) for r in sizes if 2 ** r["p"] >= least[r["n"]])
-
-    while entries() * BITS_EACH > most * 8:
-        least[2 if least[2] < 64 * least[1] else 1] *= 2
-    bits = max(1024, -(-entries() * BITS_EACH // SEGMENTS // 8) * 8)
-    kept = counts.where(F.col("c") >= F.when(F.col("n") == 1, least[1]).otherwise(least[2]))
-    level = (F.floor(F.log2(F.col("c") / F.when(F.col("n") == 1, least[1]).otherwise(least[2]))) + 1).cast("int")
-    # a hash of 64 bits is unsigned here: its upper half names the segment
-    segment = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(SEGMENTS)).cast("int")
-    dealt = kept.select(segment.alias("segment"), "hash", level.alias("level")).repartition(SEGMENTS, "segment").sortWithinPartitions("segment")
+        return _levels(self.data, _segment(h) * np.uint64(self.bits), h, self.bits)
 
-    def fill(batches):
-        held: dict[int, np.ndarray] = {}
-        last = None  # rows come by segment, so one segment's bits are held at a time
-        for batch in batches:
-            seg, h, lv = (batch.column(i).to_numpy() for i in range(3))
-            for s in np.unique(seg):
-                if last is not None and s != last and last in held:
-                    yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(held.pop(last), bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
-                last = int(s)
-                mine = held.setdefault(last, np.zeros(bits, bool))
-                own, levels = h[seg == s].view(np.uint64), lv[seg == s]
-                for k in range(1, int(levels.max()) + 1):
-                    x, y = _seeds(own[levels >= k], k)
-                    for i in range(PROBES):
-                        mine[_probe(x, y, i, bits)] = True
-        for s, mine in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
-    data = np.zeros(SEGMENTS * bits // 8, np.uint8)
-    for s, raw in dealt.mapInArrow(fill, "segment int, bits binary").toLocalIterator():  # bounded by `most`
-        data[s * bits // 8 : (s + 1) * bits // 8] = np.frombuffer(raw, np.uint8)
-    return Filter(data, bits, least)
+def _kept(counts: DataFrame, least_bigram: int) -> DataFrame:
+    """hash and level of the n-grams that enter the filter."""
+    least = F.when(F.col("n") == 1, 1).otherwise(least_bigram)
+    return counts.where(F.col("c") >= least).select("hash", (F.floor(F.log2(F.col("c") / least)) + 1).cast("int").alias("level"))
+
+
+def filter_bits(counts: DataFrame, least_bigram: int = LEAST_BIGRAM) -> int:
+    """Bits of a segment of the filter of count_ngrams()' table."""
+    entries = _kept(counts, least_bigram).agg(F.coalesce(F.sum(F.col("level").cast("long")), F.lit(0))).head()[0]
+    return max(1024, -(-entries * BITS_EACH // SEGMENTS // 8) * 8)
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT) -> DataFrame:
+def filter_pieces(counts: DataFrame, bits: int, least_bigram: int = LEAST_BIGRAM) -> DataFrame:
+    """Segment and bits; a segment's bits are those of all its rows."""
+
+    def fill(batches):
+        slot, count, data = np.full(SEGMENTS, -1), 0, np.zeros(0, np.uint8)
+
+        def pieces() -> pa.RecordBatch:
+            named = [int(s) for s in np.argsort(slot, kind="stable")[SEGMENTS - count :]]
+            return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array([x.tobytes() for x in data.reshape(count, bits // 8)], pa.binary())], names=["segment", "bits"])
+
+        for batch in batches:
+            h, lv = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            seg = _segment(h).astype(np.int64)
+            new = np.unique(seg[slot[seg] < 0])
+            if len(new):
+                slot[new] = count + np.arange(len(new))
+                count += len(new)
+                data = np.concatenate([data, np.zeros(len(new) * bits // 8, np.uint8)])
+            base = slot[seg].astype(np.uint64) * np.uint64(bits)
+            for k in range(1, int(lv.max(initial=0)) + 1):
+                has = lv >= k
+                x, y = _seeds(h[has], k)
+                for i in range(PROBES):
+                    at = base[has] + _probe(x, y, i, bits)
+                    np.bitwise_or.at(data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            if data.size > PIECE_BYTES:
+                yield pieces()
+                slot, count, data = np.full(SEGMENTS, -1), 0, np.zeros(0, np.uint8)
+        if count:
+            yield pieces()
+
+    return _kept(counts, least_bigram).mapInArrow(fill, "segment int, bits binary")
+
+
+def build_filter(counts: DataFrame, bits: int | None = None, least_bigram: int = LEAST_BIGRAM) -> Filter:
+    """The filter of count_ngrams()' table, gathered."""
+    bits = bits or filter_bits(counts, least_bigram)
+    data = np.zeros(SEGMENTS * bits // 8, np.uint8)
+    for s, raw in filter_pieces(counts, bits, least_bigram).toLocalIterator():  # bounded by the caller
+        data[s * bits // 8 : (s + 1) * bits // 8] |= np.frombuffer(raw, np.uint8)
+    return Filter(data, bits)
+
+
+def _asked(texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams that texts look up, sorted, and their order by segment."""
+    parts = [np.zeros(0, np.uint64)]
+    for piece in texts.chunks:
+        for a, b in wordhash.slices(piece):
+            t, at = tokens(piece.slice(a, b - a))
+            parts += [np.unique(t[~_found(t, known)[0]]), np.unique(bigrams(t, at))]
+    h = np.unique(np.concatenate(parts))
+    return h, np.argsort(_segment(h), kind="stable")
+
+
+def _found(t: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token is among the sorted known ones, and where."""
+    place = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
+    return known[place] == t if len(known) else np.zeros(len(t), bool), place
+
+
+def levels_by_segment(texts: DataFrame, pieces: DataFrame, bits: int, shared) -> DataFrame:
+    """chunk, segment and levels of texts' (chunk, text) distinct n-grams in that segment, by their hash."""
+    spark = texts.sparkSession
+
+    def ask(batches):
+        for table in common.groups(batches, ["chunk"]):
+            h, order = _asked(table["text"], shared.value[1])
+            h = h[order]
+            seg = _segment(h).astype(np.int64)
+            edges = np.flatnonzero(np.diff(seg, prepend=-1, append=SEGMENTS))
+            k = table["chunk"][0].as_py()
+            n = len(edges) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(seg[edges[:-1]], pa.int32()), pa.array(np.full(n, k), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["segment", "chunk", "data"])
+
+    def answer(batches):
+        last, mine = None, np.zeros(0, np.uint8)
+        for batch in batches:
+            out = []
+            for s, k, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if s.as_py() != last:
+                    last, mine = s.as_py(), np.zeros(bits // 8, np.uint8)
+                if k.as_py() < 0:  # the segment's own bits come first
+                    mine |= np.frombuffer(raw.as_buffer(), np.uint8)
+                else:
+                    h = np.frombuffer(raw.as_buffer(), np.uint64)
+                    out.append((k.as_py(), last, _levels(mine, np.zeros(len(h), np.uint64), h, bits).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "segment", "levels"])
+
+    asked = texts.select("chunk", "text").repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(ask, "segment int, chunk long, data binary")
+    own = pieces.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
+    return own.union(asked).repartition(common.partitions(spark), "segment").sortWithinPartitions("segment", "chunk").mapInArrow(answer, "chunk long, segment int, levels binary")
+
+
+def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT, chunk_bytes: int = CHUNK_BYTES, least_bigram: int = LEAST_BIGRAM) -> DataFrame:
     """Scores of docs' rows by the n-grams in counts (a written count_ngrams() table).
 
     Returns doc_id, held_out, n_tokens (with the end), n_known (tokens that were
@@ -206,42 +285,70 @@ def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTE
     top = ones.where(F.floor(8 * F.log2(F.col("c").cast("double"))) >= cut).select("hash", "c").toArrow()
     keys = top["hash"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((build_filter(counts, filter_bytes), keys[order], top["c"].to_numpy()[order]))
+    bits = filter_bits(counts, least_bigram)
+    small = SEGMENTS * bits // 8 <= filter_bytes
+    shared = spark.sparkContext.broadcast((build_filter(counts, bits, least_bigram) if small else None, keys[order], top["c"].to_numpy()[order]))
     norm = total + ADDED * (distinct + 1)
 
+    def scored(batch: pa.RecordBatch, row: int, levels):
+        """Rows of batch with their scores; levels gives those of n-grams."""
+        _, known, known_counts = shared.value
+        for a, b in wordhash.slices(batch.column("text")):
+            piece = batch.slice(a, b - a)
+            t, at = tokens(piece.column("text"))
+            found, place = _found(t, known)
+            exact = np.where(found, known_counts[place], 0) if len(known) else np.zeros(len(t))
+            base = np.where(found, np.log10((exact + ADDED) / norm), 0.0)
+            c = np.where(found, exact, 0.0)
+            c[~found] = _middle(levels(t[~found]), 1, least_bigram)
+            uni = (c + ADDED) / norm
+            seen = np.empty(len(t))  # how often the token before was seen; a text starts as often as one ends
+            seen[1:] = c[:-1]
+            seen[at[:-1]] = c[at[1:] - 1]
+            share = np.minimum(_middle(levels(bigrams(t, at)), 2, least_bigram) / np.maximum(seen, 1), 1.0)
+            weight = seen / (seen + UNIGRAM_WEIGHT)
+            log = np.log10(weight * share + (1 - weight * share) * uni)
+            starts_at = at[:-1]
+            rare = [np.unique(t[x:y][~found[x:y]]) if not found[x:y].all() else None for x, y in zip(starts_at, at[1:], strict=True)]
+            times = [None if r is None else np.bincount(np.searchsorted(r, t[x:y][~found[x:y]])).tolist() for r, x, y in zip(rare, starts_at, at[1:], strict=True)]
+            n = b - a
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row + a + np.arange(n)), piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(at)), pa.array(np.add.reduceat(found.astype(np.int64), starts_at)), pa.array(np.add.reduceat(base, starts_at)), pa.array(np.add.reduceat(log, starts_at)),
+                 pa.array([None if r is None else r.view(np.int64) for r in rare], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+            )
+
     def each(batches):
-        model, known, known_counts = shared.value
-        part, row = TaskContext.get().partitionId() << 33, 0
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for a, b in wordhash.slices(batch.column("text")):
-                piece = batch.slice(a, b - a)
-                t, at = tokens(piece.column("text"))
-                place = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
-                found = known[place] == t if len(known) else np.zeros(len(t), bool)
-                exact = np.where(found, known_counts[place], 0) if len(known) else np.zeros(len(t))
-                base = np.where(found, np.log10((exact + ADDED) / norm), 0.0)
-                c = np.where(found, exact, 0.0)
-                c[~found] = model.counts(t[~found], 1)
-                uni = (c + ADDED) / norm
-                seen = np.empty(len(t))  # how often the token before was seen; a text starts as often as one ends
-                seen[1:] = c[:-1]
-                seen[at[:-1]] = c[at[1:] - 1]
-                share = np.minimum(model.counts(bigrams(t, at), 2) / np.maximum(seen, 1), 1.0)
-                weight = seen / (seen + UNIGRAM_WEIGHT)
-                log = np.log10(weight * share + (1 - weight * share) * uni)
-                starts_at = at[:-1]
-                rare = [np.unique(t[x:y][~found[x:y]]) if not found[x:y].all() else None for x, y in zip(starts_at, at[1:], strict=True)]
-                times = [None if r is None else np.bincount(np.searchsorted(r, t[x:y][~found[x:y]])).tolist() for r, x, y in zip(rare, starts_at, at[1:], strict=True)]
-                n = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part + row + np.arange(n)), piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(at)), pa.array(np.add.reduceat(found.astype(np.int64), starts_at)), pa.array(np.add.reduceat(base, starts_at)), pa.array(np.add.reduceat(log, starts_at)),
-                     pa.array([None if r is None else r.view(np.int64) for r in rare], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-                )
-                row += n
+            yield from scored(batch, row, shared.value[0].levels)
+            row += batch.num_rows
+
+    def each_chunk(batches):
+        row = TaskContext.get().partitionId() << 33
+        for table in common.groups(batches, ["chunk"]):
+            texts = table.filter(pc.is_null(table["segment"]))
+            h, order = _asked(texts["text"], shared.value[1])
+            levels = np.empty(len(h), np.uint8)
+            levels[order] = np.frombuffer(b"".join(table["levels"].drop_null().to_pylist()), np.uint8)  # they come by segment
+
+            def look_up(x, h=h, levels=levels):
+                return levels[np.searchsorted(h, x)].astype(np.int64) if len(x) else np.zeros(0, np.int64)
+
+            for batch in texts.to_batches():
+                yield from scored(batch, row, look_up)
+                row += batch.num_rows
 
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
-    first = common.written(source.mapInArrow(each, "row long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"), "scores")
+    kind = "row long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
+    if small:
+        first = common.written(source.mapInArrow(each, kind), "scores")
+    else:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+        texts = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // chunk_bytes + 1)))
+        levels = levels_by_segment(texts, filter_pieces(counts, bits, least_bigram), bits, shared)
+        both = texts.unionByName(levels, allowMissingColumns=True).repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "segment")
+        first = common.written(both.mapInArrow(each_chunk, kind), "scores")
     rare = first.where("rare is not null").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     rare = rare.join(ones.where(F.floor(8 * F.log2(F.col("c").cast("double"))) < cut).select("hash", "c"), "hash", "left")
     c = F.coalesce("c", F.lit(0))

@@ -139,6 +139,18 @@ def test_lm_scoring(spark, docs):
     assert (lm_scoring.build_filter(counts).levels(h) >= np.arange(1999) % 5 + 1).all()
 
 
+def test_lm_filter_beyond_the_broadcast_bound(spark, docs):
+    """However large the filter, no n-gram is left out and scores are the same."""
+    for options in ({}, {"frequent": 2}):
+        want = sorted(lm_scoring.score(docs, **options).collect(), key=str)
+        got = sorted(lm_scoring.score(docs, filter_bytes=64, **options).collect(), key=str)
+        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want])
+    counts = common.written(lm_scoring.count_ngrams(docs), "t")
+    many = sorted(lm_scoring.score_texts(docs, counts, filter_bytes=64, chunk_bytes=100).collect(), key=str)
+    assert np.allclose([r.score for r in many], [r.score for r in sorted(lm_scoring.score_texts(docs, counts).collect(), key=str)])
+    assert lm_scoring.score(docs.limit(0), filter_bytes=64).count() == 0
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
