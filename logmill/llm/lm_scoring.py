@@ -40,8 +40,8 @@ SEGMENTS = 1024
 PIECE_BYTES = 32 << 20
 #: Bytes of the texts that ask the segments together, about.
 CHUNK_BYTES = 8 << 20
-#: Least count of a bigram in the filter.
-LEAST_BIGRAM = 2
+#: Least count of a bigram in the filter: one seen once is level 1, as a unigram is.
+LEAST_BIGRAM = 1
 #: Weight of the unigram, in occurrences of the history.
 UNIGRAM_WEIGHT = 4.0
 #: Tokens of which a task counts n-grams before it passes the counts on.
@@ -81,10 +81,32 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
+def _packed(h: np.ndarray, *others: np.ndarray) -> bytes:
+    """Sorted hashes and columns beside them: gaps and values by byte planes, compressed."""
+    all_of = np.stack([np.diff(h, prepend=np.uint64(0)), *(x.astype(np.uint64) for x in others)])
+    planes = all_of.view(np.uint8).reshape(len(all_of), len(h), 8).transpose(0, 2, 1)
+    return len(h).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, columns: int = 1) -> list[np.ndarray]:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], n * 8 * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    h, *others = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, n)
+    return [np.cumsum(h, dtype=np.uint64), *others]
+
+
+def _runs(h: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each segment of sorted hashes, with its first and its end."""
+    seg = _segment(h).astype(np.int64)
+    edges = np.flatnonzero(np.diff(seg, prepend=-1, append=SEGMENTS))
+    return [(int(seg[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _count(batches):
     def rows(parts: list[np.ndarray], order: int) -> pa.RecordBatch:
         h, n = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), order, np.int8)), pa.array(h.view(np.int64)), pa.array(n)], names=["n", "hash", "c"])
+        runs = _runs(h)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(np.full(len(runs), order, np.int8)), pa.array([_packed(h[a:b], n[a:b]) for _, a, b in runs], pa.binary())], names=["segment", "n", "data"])
 
     ones, twos, held = [], [], 0
     for batch in batches:
@@ -102,12 +124,19 @@ def _count(batches):
         yield rows(twos, 2)
 
 
+def _added(batches):
+    for table in common.groups(batches, ["segment", "n"]):
+        parts = [_unpacked(raw.as_py(), 2) for raw in table["data"]]
+        h, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        c = np.zeros(len(h), np.int64)
+        np.add.at(c, place, np.concatenate([x for _, x in parts]).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), table["n"][0].as_py(), np.int8)), pa.array(h.view(np.int64)), pa.array(c)], names=["n", "hash", "c"])
+
+
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """n, hash and count of every unigram and bigram of docs' texts; those of a segment lie in one partition."""
-    # a hash of 64 bits is unsigned here: its upper half names the segment
-    segment = F.pmod(F.shiftrightunsigned("hash", 32), F.lit(SEGMENTS)).cast("int").alias("segment")
-    parts = docs.select("text").mapInArrow(_count, "n byte, hash long, c long").select(segment, "n", "hash", "c").repartition("segment")
-    return parts.groupBy("segment", "n", "hash").agg(F.sum("c").alias("c")).drop("segment")
+    parts = docs.select("text").mapInArrow(_count, "segment int, n byte, data binary")
+    return parts.repartition(common.partitions(docs.sparkSession), "segment").sortWithinPartitions("segment", "n").mapInArrow(_added, "n byte, hash long, c long")
 
 
 def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +151,7 @@ def _probe(x: np.ndarray, y: np.ndarray, i: int, bits: int) -> np.ndarray:
 
 
 def _segment(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)) % np.uint64(SEGMENTS)
+    return h >> np.uint64(54)  # SEGMENTS of them
 
 
 def _levels(data: np.ndarray, base: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -213,15 +242,14 @@ def build_filter(counts: DataFrame, bits: int | None = None, least_bigram: int =
     return Filter(data, bits)
 
 
-def _asked(texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams that texts look up, sorted, and their order by segment."""
+def _asked(texts, known: np.ndarray) -> np.ndarray:
+    """The distinct n-grams that texts look up, sorted."""
     parts = [np.zeros(0, np.uint64)]
     for piece in texts.chunks:
         for a, b in wordhash.slices(piece):
             t, at = tokens(piece.slice(a, b - a))
             parts += [np.unique(t[~_found(t, known)[0]]), np.unique(bigrams(t, at))]
-    h = np.unique(np.concatenate(parts))
-    return h, np.argsort(_segment(h), kind="stable")
+    return np.unique(np.concatenate(parts))
 
 
 def _found(t: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,13 +264,9 @@ def levels_by_segment(texts: DataFrame, pieces: DataFrame, bits: int, shared) ->
 
     def ask(batches):
         for table in common.groups(batches, ["chunk"]):
-            h, order = _asked(table["text"], shared.value[1])
-            h = h[order]
-            seg = _segment(h).astype(np.int64)
-            edges = np.flatnonzero(np.diff(seg, prepend=-1, append=SEGMENTS))
-            k = table["chunk"][0].as_py()
-            n = len(edges) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(seg[edges[:-1]], pa.int32()), pa.array(np.full(n, k), pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], names=["segment", "chunk", "data"])
+            h = _asked(table["text"], shared.value[1])
+            runs = _runs(h)
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(np.full(len(runs), table["chunk"][0].as_py()), pa.int64()), pa.array([_packed(h[a:b]) for _, a, b in runs], pa.binary())], names=["segment", "chunk", "data"])
 
     def answer(batches):
         last, mine = None, np.zeros(0, np.uint8)
@@ -254,7 +278,7 @@ def levels_by_segment(texts: DataFrame, pieces: DataFrame, bits: int, shared) ->
                 if k.as_py() < 0:  # the segment's own bits come first
                     mine |= np.frombuffer(raw.as_buffer(), np.uint8)
                 else:
-                    h = np.frombuffer(raw.as_buffer(), np.uint64)
+                    h = _unpacked(raw.as_py())[0]
                     out.append((k.as_py(), last, _levels(mine, np.zeros(len(h), np.uint64), h, bits).astype(np.uint8).tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "segment", "levels"])
@@ -328,9 +352,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTE
         row = TaskContext.get().partitionId() << 33
         for table in common.groups(batches, ["chunk"]):
             texts = table.filter(pc.is_null(table["segment"]))
-            h, order = _asked(texts["text"], shared.value[1])
-            levels = np.empty(len(h), np.uint8)
-            levels[order] = np.frombuffer(b"".join(table["levels"].drop_null().to_pylist()), np.uint8)  # they come by segment
+            h = _asked(texts["text"], shared.value[1])
+            levels = np.frombuffer(b"".join(table["levels"].drop_null().to_pylist()), np.uint8)  # by segment, so by hash
 
             def look_up(x, h=h, levels=levels):
                 return levels[np.searchsorted(h, x)].astype(np.int64) if len(x) else np.zeros(0, np.int64)

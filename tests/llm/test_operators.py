@@ -151,6 +151,17 @@ def test_lm_filter_beyond_the_broadcast_bound(spark, docs):
     assert lm_scoring.score(docs.limit(0), filter_bytes=64).count() == 0
 
 
+def test_lm_bigrams_seen_once(spark):
+    """A bigram that comes once in training is level 1, and its text scores above one of new bigrams."""
+    df = spark.createDataFrame([(0, "a b c d e f")], "doc_id long, text string")
+    counts = common.written(lm_scoring.count_ngrams(df), "t")
+    once = np.array([r.hash for r in counts.where("n = 2 and c = 1").collect()], np.int64).view(np.uint64)
+    assert len(once) == 7 and (lm_scoring.build_filter(counts).levels(once) >= 1).all()
+    both = spark.createDataFrame([(1, "a b c d e f"), (2, "b a d c f e")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scoring.score_texts(both, counts).collect()}
+    assert got[1] > got[2] + 1
+
+
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
