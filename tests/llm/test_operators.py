@@ -202,6 +202,13 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_html_hidden_is_an_attribute_name():
+    for attributes in ('style="overflow:hidden"', 'aria-hidden="false"', "data-x='a hidden b'", "title=hidden", "data-class=nav"):
+        assert html_extraction.main_text(f"<div {attributes}><article><p>story</article></div>", None, []) == "story"
+    for attributes in ("hidden", 'HIDDEN=""', "id=x hidden", "style='a' hidden=hidden", 'class="x nav"', "role = navigation"):
+        assert html_extraction.main_text(f"<div {attributes}><p>no</div><p>story", None, []) == "story"
+
+
 def test_word_hashes():
     from logmill.llm import wordhash
 
