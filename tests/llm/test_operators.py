@@ -209,6 +209,16 @@ def test_html_hidden_is_an_attribute_name():
         assert html_extraction.main_text(f"<div {attributes}><p>no</div><p>story", None, []) == "story"
 
 
+def test_html_hosts_of_few_pages(spark):
+    page = "<div class=top><h4>The Daily</h4></div><section class=story><h2>Head {0}</h2><p>text {0}</section>"
+    rows = [(i, "http://two/", page.format(i)) for i in range(2)] + [(2, "http://one/", page.format(2))]
+    rows += [(i, "http://same/", page.format(3)) for i in (3, 4)]  # one page, twice
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+    assert [got[i] for i in (0, 1)] == ["Head 0\ntext 0", "Head 1\ntext 1"]
+    assert [got[i] for i in (2, 3, 4)] == [f"The Daily\nHead {i}\ntext {i}" for i in (2, 3, 3)]
+
+
 def test_word_hashes():
     from logmill.llm import wordhash
 
