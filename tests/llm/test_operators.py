@@ -219,6 +219,15 @@ def test_html_hosts_of_few_pages(spark):
     assert [got[i] for i in (2, 3, 4)] == [f"The Daily\nHead {i}\ntext {i}" for i in (2, 3, 3)]
 
 
+def test_html_unlike_siblings(spark):
+    """Siblings of one tag but of another class or shape are nodes of their own."""
+    page = "<div class=topline>The Daily</div><div class=story><p>a{0}<p>b <i>{0}</i></div><div class=imprint>Ltd</div>"
+    bare = "<div><h3>Same</h3><ul><li>x</ul></div><div><p>text {0}<p>more {0}</div><div><table><tr><td>All rights</table></div>"
+    rows = [(i, "http://classes/", page.format(i)) for i in range(6)] + [(6 + i, "http://shapes/", bare.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"a{i}\nb {i}" for i in range(6)} | {6 + i: f"text {i}\nmore {i}" for i in range(6)}
+
+
 def test_word_hashes():
     from logmill.llm import wordhash
 
