@@ -1,21 +1,28 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 5).
 
-Unigrams and bigrams of the training texts are counted exactly.  A count c of an
-n-gram is quantised to 1 + floor(log2(c / least)) levels; the n-gram enters a
-Bloom filter once for each level, and its level is read back by probing for
-level 1, 2, ... until one is missing.  The filter is built in segments, by the
-n-grams whose hash falls into them, and grows with the n-grams at fixed least
-counts.
-
-A small filter is broadcast.  A larger one is probed by segment: texts are dealt
-into chunks, each chunk asks each segment for its distinct n-grams, and the levels
-go back to the chunk.  Both ways give the same scores.  The smoothed probability
-of a token is w * s + (1 - w * s) * u: s the bigram's share of its history's
-count, w the history's count over itself plus a constant, u the unigram's
-probability.
+Tokens and bigrams of the training texts are counted exactly.  A bigram's count
+c is quantised to level 1 + floor(log2(c)); it enters a Bloom filter once for
+each level, and its level is read back by probing for level 1, 2, ... until one
+is missing.  q is the middle of the counts that share a level.  Tokens keep their
+exact counts, which the base score needs anyway, and beside it Q, the sum of q
+over the bigrams that begin with them.  The probability of token v after h is
+
+    (q(h, v) + K * u(v)) / (Q(h) + K) = w * q(h, v) / Q(h) + (1 - w) * u(v)
+
+with w = Q(h) / (Q(h) + K), K = UNIGRAM_WEIGHT and u the base probability: over
+all known tokens and one unknown token it sums to 1 after every h, but for what
+false positives of the filter add.
+
+Filter and token table are dealt into segments by the hash of a bigram's first
+token; bigrams of the few most frequent first tokens are dealt by their own hash,
+so no segment stands out.  A small model is broadcast.  A larger one is probed by
+segment: texts are dealt into chunks, each chunk asks each segment for its
+distinct tokens and bigrams, and the answers go back to the chunk.  Both ways
+give the same scores; nothing is left out at any size.
 
 Tokens are runs of anything but ASCII white space, A-Z lower-cased, then one end
-of text, and are known by a 64-bit hash.
+of text, and are known by a 64-bit hash; a bigram by its first token's hash and
+40 bits of its own.
 """
 
 from __future__ import annotations
@@ -24,35 +31,37 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, wordhash
 
-#: Most bytes of a filter that is broadcast; a larger one is probed by segment.
-FILTER_BYTES = 48 << 20
+#: Most bytes of a model (filter and tokens) that is broadcast; a larger one is probed by segment.
+MODEL_BYTES = 48 << 20
+TOKEN_BYTES = 24
 BITS_EACH = 12
 PROBES = 4
-SEGMENTS = 1024
-#: Bytes of a segment's pieces that a task holds before it passes them on.
-PIECE_BYTES = 32 << 20
+#: Bytes of training text a segment, about; sets the number of segments, not less than 2**10 and not more than 2**14.
+SEGMENT_BYTES = 16 << 20
+LEAST_SEGMENTS, MOST_SEGMENTS = 10, 14
 #: Bytes of the texts that ask the segments together, about.
 CHUNK_BYTES = 8 << 20
-#: Least count of a bigram in the filter: one seen once is level 1, as a unigram is.
-LEAST_BIGRAM = 1
 #: Weight of the unigram, in occurrences of the history.
 UNIGRAM_WEIGHT = 4.0
 #: Tokens of which a task counts n-grams before it passes the counts on.
 HELD = 3_000_000
-#: Frequent tokens whose exact counts are broadcast, at most; the others' are joined.
-FREQUENT = 1_000_000
+#: Bytes of text in which frequent first tokens are looked for, and how many are dealt by bigram; this sets where counts lie, not what they are.
+HOT_SAMPLE = 4 << 20
+HOT = 256
 ADDED = 0.1
 
 _END = np.uint64(0x243F6A8885A308D3)
 _START = np.uint64(0x13198A2E03707344)
 _PAIR = np.uint64(0xA4093822299F31D1)
+_TAIL = np.uint64((1 << 40) - 1)
+
+#: Five times the middle of the counts of each level, as whole numbers: 1, then 1.4 times the least.
+MIDDLE5 = np.array([0, 5, *(7 << n for n in range(1, 55))], np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,103 +73,206 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def bigrams(t: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The hash of each token with the one before it, or with the start of the text."""
-    return wordhash.mix64(history(t, at) * _PAIR + t)
-
-
 def history(t: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The token before each token; the start of the text for its first."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[at[:-1]] = _START
     return before
 
 
+def tails(h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """40 bits of a bigram's hash, which tell it from others of the same first token."""
+    return wordhash.mix64(h * _PAIR + t) >> np.uint64(24)
+
+
+def bigrams(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash by which a bigram is in the filter."""
+    return wordhash.mix64(h ^ (tail * _PAIR + np.uint64(1)))
+
+
 def held_out():
     """Whether crc32 of the id as text is divisible by 10; false for null."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0, F.lit(False))
 
 
 def _packed(h: np.ndarray, *others: np.ndarray) -> bytes:
-    """Sorted hashes and columns beside them: gaps and values by byte planes, compressed."""
-    all_of = np.stack([np.diff(h, prepend=np.uint64(0)), *(x.astype(np.uint64) for x in others)])
-    planes = all_of.view(np.uint8).reshape(len(all_of), len(h), 8).transpose(0, 2, 1)
-    return len(h).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """Ascending hashes and columns beside them: gaps and values by byte planes, as many as they need, compressed."""
+    columns = [np.diff(h, prepend=np.uint64(0)), *(x.astype(np.uint64) for x in others)]
+    wide = [-(-int(x.max(initial=0)).bit_length() // 8) for x in columns]
+    planes = [(x >> np.uint64(8 * i)).astype(np.uint8) for x, w in zip(columns, wide, strict=True) for i in range(w)]
+    raw = np.concatenate(planes).tobytes() if planes else b""
+    return len(h).to_bytes(8, "little") + bytes(wide) + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
 def _unpacked(raw: bytes, columns: int = 1) -> list[np.ndarray]:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(pa.decompress(raw[8:], n * 8 * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
-    h, *others = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, n)
-    return [np.cumsum(h, dtype=np.uint64), *others]
-
-
-def _runs(h: np.ndarray) -> list[tuple[int, int, int]]:
-    """Each segment of sorted hashes, with its first and its end."""
-    seg = _segment(h).astype(np.int64)
-    edges = np.flatnonzero(np.diff(seg, prepend=-1, append=SEGMENTS))
-    return [(int(seg[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _count(batches):
-    def rows(parts: list[np.ndarray], order: int) -> pa.RecordBatch:
-        h, n = np.unique(np.concatenate(parts), return_counts=True)
-        runs = _runs(h)
-        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(np.full(len(runs), order, np.int8)), pa.array([_packed(h[a:b], n[a:b]) for _, a, b in runs], pa.binary())], names=["segment", "n", "data"])
-
-    ones, twos, held = [], [], 0
-    for batch in batches:
-        for a, b in wordhash.slices(batch.column("text")):
-            t, at = tokens(batch.column("text").slice(a, b - a))
-            ones.append(t)
-            twos.append(bigrams(t, at))
-            held += len(t)
-            if held >= HELD:
-                yield rows(ones, 1)
-                yield rows(twos, 2)
-                ones, twos, held = [], [], 0
-    if held:
-        yield rows(ones, 1)
-        yield rows(twos, 2)
-
-
-def _added(batches):
-    for table in common.groups(batches, ["segment", "n"]):
-        parts = [_unpacked(raw.as_py(), 2) for raw in table["data"]]
-        h, place = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-        c = np.zeros(len(h), np.int64)
-        np.add.at(c, place, np.concatenate([x for _, x in parts]).astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), table["n"][0].as_py(), np.int8)), pa.array(h.view(np.int64)), pa.array(c)], names=["n", "hash", "c"])
-
-
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """n, hash and count of every unigram and bigram of docs' texts; those of a segment lie in one partition."""
-    parts = docs.select("text").mapInArrow(_count, "segment int, n byte, data binary")
-    return parts.repartition(common.partitions(docs.sparkSession), "segment").sortWithinPartitions("segment", "n").mapInArrow(_added, "n byte, hash long, c long")
+    n, wide = int.from_bytes(raw[:8], "little"), raw[8 : 8 + columns]
+    size = n * sum(wide)
+    planes = iter(np.frombuffer(pa.decompress(raw[8 + columns :], size, codec="zstd", asbytes=True), np.uint8).reshape(-1, n) if size else ())
+    out = []
+    for w in wide:
+        x = np.zeros(n, np.uint64)
+        for i in range(w):
+            x |= next(planes).astype(np.uint64) << np.uint64(8 * i)
+        out.append(x)
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def _all_of(raws, columns: int) -> list[np.ndarray]:
+    """The columns of many packed values, one after the other."""
+    parts = [_unpacked(raw, columns) for raw in raws]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] * columns
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """Each value of an ascending array of whole numbers, with its first place and its end."""
+    edges = np.flatnonzero(np.diff(x.astype(np.int64), prepend=-1, append=-2))
+    return [(int(x[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _summed(h: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The distinct h, ascending, and the sums of their values."""
+    order = np.argsort(h)
+    keys = h[order]
+    new = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return [keys[new], *(np.add.reduceat(v.astype(np.int64)[order], new) if len(new) else np.zeros(0, np.int64) for v in values)]
+
+
+@dataclass
+class Layout:
+    """Where tokens and bigrams lie: 2**bits segments; hot first tokens, ascending."""
+
+    bits: int
+    hot: np.ndarray
+
+    def of_tokens(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def is_hot(self, h: np.ndarray) -> np.ndarray:
+        return self.hot[np.minimum(np.searchsorted(self.hot, h), len(self.hot) - 1)] == h
+
+    def of_bigrams(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+        return self.of_tokens(np.where(self.is_hot(h), f, h))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+
+
+def layout(docs: DataFrame, hot_sample: int = HOT_SAMPLE) -> Layout:
+    """A layout for docs' texts; its hot tokens are the most frequent of about hot_sample bytes of text."""
+    size = text_bytes(docs)
+    bits = int(np.clip(np.ceil(np.log2(max(1, size) / SEGMENT_BYTES)), LEAST_SEGMENTS, MOST_SEGMENTS))
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, hot_sample / max(1, size))))
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        h, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    top = common.arrow_map(some.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT).collect()
+    return Layout(bits, np.unique(np.append(np.array([r.h for r in top], np.int64).view(np.uint64), _START)))
+
+
+@dataclass
+class Counts:
+    """Counts of tokens and bigrams: rows of kind 1 (tokens, counts, Q of the first tokens that aren't hot), 2 (bigrams and levels), 3 (parts of Q of hot first tokens), each for a segment."""
+
+    rows: DataFrame
+    layout: Layout
+
+
+_COUNTS = "kind int, segment int, data binary, tokens long, known long, entries long"
+
+
+def _count(lay: Layout):
+    def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        t = np.concatenate([x for x, _ in parts])
+        vocabulary, rank = np.unique(np.append(t, _START), return_inverse=True)
+        start, rank = rank[-1], rank[:-1]
+        n = np.bincount(rank, minlength=len(vocabulary))
+        before = np.empty_like(rank)
+        before[1:] = rank[:-1]
+        firsts = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
+        before[np.concatenate([at[:-1] + a for (_, at), a in zip(parts, firsts, strict=True)])] = start
+        both = (before.astype(np.uint64) << np.uint64(40)) | tails(vocabulary[before], t)
+        both.sort()
+        new = np.flatnonzero(np.diff(both, prepend=~both[:1]))
+        c = np.diff(new, append=len(both))
+        h, tail = vocabulary[(both[new] >> np.uint64(40)).astype(np.int64)], both[new] & _TAIL
+        segment = lay.of_bigrams(h, bigrams(h, tail))
+        order = np.argsort(segment.astype(np.uint16), kind="stable")  # by segment, then by first token
+        h, tail, c, segment = h[order], tail[order], c[order], segment[order]
+        twos = {s: _packed(h[a:b], tail[a:b], c[a:b]) for s, a, b in _runs(segment)}
+        seen = n > 0
+        vocabulary, n = vocabulary[seen], n[seen]
+        ones = {s: _packed(vocabulary[a:b], n[a:b]) for s, a, b in _runs(lay.of_tokens(vocabulary))}
+        names = sorted(ones.keys() | twos.keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([ones.get(s) for s in names], pa.binary()), pa.array([twos.get(s) for s in names], pa.binary())], names=["segment", "ones", "twos"])
+
+    def each(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for a, b in wordhash.slices(batch.column("text")):
+                parts.append(tokens(batch.column("text").slice(a, b - a)))
+                held += len(parts[-1][0])
+                if held >= HELD:
+                    yield rows(parts)
+                    parts, held = [], 0
+        if held:
+            yield rows(parts)
+
+    return each
+
+
+def _add(lay: Layout):
+    def each(batches):
+        for table in common.groups(batches, ["segment"]):
+            own = table["segment"][0].as_py()
+            h, n = _summed(*_all_of(table["ones"].drop_null().to_pylist(), 2))
+            first, tail, c = _all_of(table["twos"].drop_null().to_pylist(), 3)
+            firsts = np.unique(first)
+            key, c = _summed((np.searchsorted(firsts, first).astype(np.uint64) << np.uint64(40)) | tail, c)
+            rank = (key >> np.uint64(40)).astype(np.int64)
+            level = np.frexp(c.astype(np.float64))[1]
+            starts = np.flatnonzero(np.diff(rank, prepend=-1))
+            mass = np.add.reduceat(MIDDLE5[level], starts) if len(starts) else np.zeros(0, np.int64)  # each first token has a bigram
+            f = bigrams(firsts[rank], key & _TAIL)
+            order = np.argsort(f)
+            hot = lay.is_hot(firsts)
+            known, n, q = _summed(np.concatenate([h, firsts[~hot]]), np.concatenate([n, np.zeros(int((~hot).sum()), np.int64)]), np.concatenate([np.zeros(len(h), np.int64), mass[~hot]]))
+            out = [(1, _packed(known, n, q), int(n.sum()), int((n > 0).sum()), 0), (2, _packed(f[order], level[order]), 0, 0, int(level.sum())), (3, _packed(firsts[hot], mass[hot]), 0, 0, 0)]
+            kind, data, total, distinct, entries = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([own] * 3, pa.int32()), pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, distinct, entries))], names=[x.split()[0] for x in _COUNTS.split(", ")])
+
+    return each
+
+
+def count_ngrams(docs: DataFrame, lay: Layout | None = None) -> Counts:
+    """Counts of every token and bigram of docs' texts, written to the work folder."""
+    lay = lay or layout(docs)
+    parts = docs.select("text").mapInArrow(_count(lay), "segment int, ones binary, twos binary")
+    added = parts.repartition(common.partitions(docs.sparkSession), "segment").sortWithinPartitions("segment").mapInArrow(_add(lay), _COUNTS)
+    return Counts(common.written(added, "ngrams"), lay)
 
 
 def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of (n-gram, level), from which all its probes follow."""
+    """Two hashes of (bigram, level), from which all its probes follow."""
     x = wordhash.mix64(h + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     return x, wordhash.mix64(x + np.uint64(1)) | np.uint64(1)
 
 
-def _probe(x: np.ndarray, y: np.ndarray, i: int, bits: int) -> np.ndarray:
-    """The i-th bit position inside the n-gram's segment."""
-    return ((x + np.uint64(i) * y) >> np.uint64(20)) % np.uint64(bits)
-
-
-def _segment(h: np.ndarray) -> np.ndarray:
-    return h >> np.uint64(54)  # SEGMENTS of them
+def _probe(x: np.ndarray, y: np.ndarray, i: int, bits) -> np.ndarray:
+    """The i-th bit position inside the bigram's segment."""
+    return ((x + np.uint64(i) * y) >> np.uint64(20)) % bits
 
 
-def _levels(data: np.ndarray, base: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    """For each n-gram the levels found from 1 on, without a gap; base is its segment's first bit in data."""
+def levels(data: np.ndarray, base: np.ndarray, bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each bigram the levels found from 1 on, without a gap; base is its segment's first bit in data, bits how many it has."""
     out, live = np.zeros(len(h), np.int64), np.arange(len(h))
     for level in range(1, 64):
         x, y = _seeds(h[live], level)
         for i in range(PROBES):
-            at = base[live] + _probe(x, y, i, bits)
+            at = base[live] + _probe(x, y, i, bits[live])
             hit = (data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             live, x, y = live[hit], x[hit], y[hit]
         if not len(live):
@@ -169,221 +281,215 @@ def _levels(data: np.ndarray, base: np.ndarray, h: np.ndarray, bits: int) -> np.
     return out
 
 
-def _middle(level: np.ndarray, order: int, least_bigram: int) -> np.ndarray:
-    """The middle of the counts that share a level; 0 for level 0."""
-    least = least_bigram if order == 2 else 1
-    return np.where(level > 0, least * 2.0 ** (level - 1) * np.where((level > 1) | (least > 1), 1.4, 1.0), 0.0)
-
-
-@dataclass
-class Filter:
-    """Bits of all segments."""
-
-    data: np.ndarray  # uint8, SEGMENTS * bits / 8
-    bits: int  # of a segment
+def segment_bits(counts: Counts, bits_each: int = BITS_EACH) -> np.ndarray:
+    """Bits of each segment of the filter; a segment without bigrams has the least."""
+    out = np.full(1 << counts.layout.bits, 64, np.uint64)
+    for s, entries in counts.rows.where("kind = 2").groupBy("segment").agg(F.sum("entries")).collect():  # a row a segment
+        out[s] = max(64, -(-entries * bits_each // 64) * 64)
+    return out
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the levels found from 1 on, without a gap."""
-        return _levels(self.data, _segment(h) * np.uint64(self.bits), h, self.bits)
 
+def filter_pieces(counts: Counts, bits: np.ndarray) -> DataFrame:
+    """segment and its bits, of segments that have bigrams."""
 
-def _kept(counts: DataFrame, least_bigram: int) -> DataFrame:
-    """hash and level of the n-grams that enter the filter."""
-    least = F.when(F.col("n") == 1, 1).otherwise(least_bigram)
-    return counts.where(F.col("c") >= least).select("hash", (F.floor(F.log2(F.col("c") / least)) + 1).cast("int").alias("level"))
+    def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for s, raw in zip(batch.column("segment").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            h, level = _unpacked(raw, 2)
+            flags = np.zeros(int(bits[s]), bool)
+            for k in range(1, int(level.max(initial=0)) + 1):
+                x, y = _seeds(h[level >= k], k)
+                for i in range(PROBES):
+                    flags[_probe(x, y, i, bits[s])] = True
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(out, pa.binary())], names=["segment", "bits"])
 
+    return common.arrow_map(counts.rows.where("kind = 2").select("segment", "data"), fill, "segment int, bits binary")
 
-def filter_bits(counts: DataFrame, least_bigram: int = LEAST_BIGRAM) -> int:
-    """Bits of a segment of the filter of count_ngrams()' table."""
-    entries = _kept(counts, least_bigram).agg(F.coalesce(F.sum(F.col("level").cast("long")), F.lit(0))).head()[0]
-    return max(1024, -(-entries * BITS_EACH // SEGMENTS // 8) * 8)
 
+@dataclass
+class Filter:
+    """Bits of all segments, gathered."""
 
-def filter_pieces(counts: DataFrame, bits: int, least_bigram: int = LEAST_BIGRAM) -> DataFrame:
-    """Segment and bits; a segment's bits are those of all its rows."""
+    data: np.ndarray
+    base: np.ndarray  # first bit of each segment
+    bits: np.ndarray
+    layout: Layout
 
-    def fill(batches):
-        slot, count, data = np.full(SEGMENTS, -1), 0, np.zeros(0, np.uint8)
+    def levels(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """The levels found of bigrams f, which begin with h."""
+        s = self.layout.of_bigrams(h, f)
+        return levels(self.data, self.base[s], self.bits[s], f)
 
-        def pieces() -> pa.RecordBatch:
-            named = [int(s) for s in np.argsort(slot, kind="stable")[SEGMENTS - count :]]
-            return pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array([x.tobytes() for x in data.reshape(count, bits // 8)], pa.binary())], names=["segment", "bits"])
 
-        for batch in batches:
-            h, lv = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            seg = _segment(h).astype(np.int64)
-            new = np.unique(seg[slot[seg] < 0])
-            if len(new):
-                slot[new] = count + np.arange(len(new))
-                count += len(new)
-                data = np.concatenate([data, np.zeros(len(new) * bits // 8, np.uint8)])
-            base = slot[seg].astype(np.uint64) * np.uint64(bits)
-            for k in range(1, int(lv.max(initial=0)) + 1):
-                has = lv >= k
-                x, y = _seeds(h[has], k)
-                for i in range(PROBES):
-                    at = base[has] + _probe(x, y, i, bits)
-                    np.bitwise_or.at(data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-            if data.size > PIECE_BYTES:
-                yield pieces()
-                slot, count, data = np.full(SEGMENTS, -1), 0, np.zeros(0, np.uint8)
-        if count:
-            yield pieces()
+def build_filter(counts: Counts, bits: np.ndarray | None = None) -> Filter:
+    """The filter of counts, gathered; its size is for the caller to bound."""
+    bits = segment_bits(counts) if bits is None else bits
+    base = np.cumsum(np.append(0, bits[:-1]), dtype=np.uint64)
+    data = np.zeros(int(bits.sum()) // 8, np.uint8)
+    for s, raw in filter_pieces(counts, bits).toLocalIterator():
+        data[int(base[s]) // 8 : int(base[s] + bits[s]) // 8] = np.frombuffer(raw, np.uint8)
+    return Filter(data, base, bits, counts.layout)
 
-    return _kept(counts, least_bigram).mapInArrow(fill, "segment int, bits binary")
 
+@dataclass
+class Tokens:
+    """Known tokens, ascending, with their counts and five times their Q."""
 
-def build_filter(counts: DataFrame, bits: int | None = None, least_bigram: int = LEAST_BIGRAM) -> Filter:
-    """The filter of count_ngrams()' table, gathered."""
-    bits = bits or filter_bits(counts, least_bigram)
-    data = np.zeros(SEGMENTS * bits // 8, np.uint8)
-    for s, raw in filter_pieces(counts, bits, least_bigram).toLocalIterator():  # bounded by the caller
-        data[s * bits // 8 : (s + 1) * bits // 8] |= np.frombuffer(raw, np.uint8)
-    return Filter(data, bits)
+    h: np.ndarray
+    n: np.ndarray
+    q: np.ndarray
 
+    def find(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and Q of each token; 0 of unknown ones."""
+        if not len(self.h):
+            return np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        at = np.minimum(np.searchsorted(self.h, t), len(self.h) - 1)
+        there = self.h[at] == t
+        return np.where(there, self.n[at], 0), np.where(there, self.q[at], 0)
 
-def _asked(texts, known: np.ndarray) -> np.ndarray:
-    """The distinct n-grams that texts look up, sorted."""
-    parts = [np.zeros(0, np.uint64)]
-    for piece in texts.chunks:
-        for a, b in wordhash.slices(piece):
-            t, at = tokens(piece.slice(a, b - a))
-            parts += [np.unique(t[~_found(t, known)[0]]), np.unique(bigrams(t, at))]
-    return np.unique(np.concatenate(parts))
 
+def gather_tokens(rows) -> Tokens:
+    """Tokens of the packed data of rows of kind 1 and 3."""
+    by_kind: dict[int, list[bytes]] = {1: [], 3: []}
+    for r in rows:
+        by_kind[r.kind].append(r.data)
+    h, n, q = _all_of(by_kind[1], 3)
+    first, mass = _all_of(by_kind[3], 2)
+    return Tokens(*_summed(np.concatenate([h, first]), np.concatenate([n, np.zeros(len(first), np.uint64)]), np.concatenate([q, mass])))
 
-def _found(t: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each token is among the sorted known ones, and where."""
-    place = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
-    return known[place] == t if len(known) else np.zeros(len(t), bool), place
 
+def probabilities(n: np.ndarray, q5: np.ndarray, before5: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+    """Base and model probability of tokens: n the token's count, q5 and before5 five times the bigram's q and the first token's Q."""
+    u = (n + ADDED) / norm
+    return u, (q5 / 5 + UNIGRAM_WEIGHT * u) / (before5 / 5 + UNIGRAM_WEIGHT)
 
-def levels_by_segment(texts: DataFrame, pieces: DataFrame, bits: int, shared) -> DataFrame:
-    """chunk, segment and levels of texts' (chunk, text) distinct n-grams in that segment, by their hash."""
-    spark = texts.sparkSession
 
-    def ask(batches):
-        for table in common.groups(batches, ["chunk"]):
-            h = _asked(table["text"], shared.value[1])
-            runs = _runs(h)
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(np.full(len(runs), table["chunk"][0].as_py()), pa.int64()), pa.array([_packed(h[a:b]) for _, a, b in runs], pa.binary())], names=["segment", "chunk", "data"])
+_SCORES = "held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-    def answer(batches):
-        last, mine = None, np.zeros(0, np.uint8)
-        for batch in batches:
-            out = []
-            for s, k, raw in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if s.as_py() != last:
-                    last, mine = s.as_py(), np.zeros(bits // 8, np.uint8)
-                if k.as_py() < 0:  # the segment's own bits come first
-                    mine |= np.frombuffer(raw.as_buffer(), np.uint8)
-                else:
-                    h = _unpacked(raw.as_py())[0]
-                    out.append((k.as_py(), last, _levels(mine, np.zeros(len(h), np.uint64), h, bits).astype(np.uint8).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "segment", "levels"])
 
-    asked = texts.select("chunk", "text").repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(ask, "segment int, chunk long, data binary")
-    own = pieces.select("segment", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data"))
-    return own.union(asked).repartition(common.partitions(spark), "segment").sortWithinPartitions("segment", "chunk").mapInArrow(answer, "chunk long, segment int, levels binary")
+def _scored(batch, find, find_levels, norm: float):
+    """Record batches of batch's rows with their scores, by look-ups of tokens and of bigrams."""
+    for a, b in wordhash.slices(batch.column("text")):
+        piece = batch.slice(a, b - a)
+        t, at = tokens(piece.column("text"))
+        before = history(t, at)
+        distinct, place = np.unique(np.append(t, _START), return_inverse=True)
+        n, mass = (x[place] for x in find(distinct))
+        n, mass = n[:-1], np.append(mass[-1], mass[:-2])  # Q of the token before each
+        mass[at[:-1]] = mass[0]
+        base, p = probabilities(n, MIDDLE5[find_levels(before, bigrams(before, tails(before, t)))], mass, norm)
+        starts = at[:-1]
+        columns = [piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(at)), pa.array(np.add.reduceat((n > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10(base), starts)), pa.array(np.add.reduceat(np.log10(p), starts))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(x.split()[0] for x in _SCORES.split(", "))])
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, *, filter_bytes: int = FILTER_BYTES, frequent: int = FREQUENT, chunk_bytes: int = CHUNK_BYTES, least_bigram: int = LEAST_BIGRAM) -> DataFrame:
-    """Scores of docs' rows by the n-grams in counts (a written count_ngrams() table).
+def score_texts(docs: DataFrame, counts: Counts, *, model_bytes: int = MODEL_BYTES, chunk_bytes: int = CHUNK_BYTES, bits_each: int = BITS_EACH) -> DataFrame:
+    """Scores of docs' rows by the n-grams in counts.
 
     Returns doc_id, held_out, n_tokens (with the end), n_known (tokens that were
-    trained on), train_tokens, base_score (exact unigrams, ADDED added to each
-    count) and score (the model's log10 probability of the text).  A null or
-    empty text is an end alone; rows repeat as they come; with no training
-    tokens all tokens are unknown.  Other columns are ignored.
+    trained on), train_tokens, base_score (unigrams, ADDED added to each count)
+    and score (the model's log10 probability of the text).  A null or empty text
+    is an end alone; rows repeat as they come; with no training tokens all tokens
+    are unknown.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    ones = counts.where("n = 1")
-    spread = ones.groupBy(F.floor(8 * F.log2(F.col("c").cast("double"))).cast("int").alias("p")).agg(F.count("*").alias("v"), F.sum("c").alias("c")).collect()  # at most 8 * 63 rows
-    distinct, total = sum(r["v"] for r in spread), sum(r["c"] for r in spread)
-    taken, cut = 0, 1000
-    for r in sorted(spread, key=lambda r: -r["p"]):
-        if taken + r["v"] > frequent:
-            break
-        taken, cut = taken + r["v"], r["p"]
-    top = ones.where(F.floor(8 * F.log2(F.col("c").cast("double"))) >= cut).select("hash", "c").toArrow()
-    keys = top["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    bits = filter_bits(counts, least_bigram)
-    small = SEGMENTS * bits // 8 <= filter_bytes
-    shared = spark.sparkContext.broadcast((build_filter(counts, bits, least_bigram) if small else None, keys[order], top["c"].to_numpy()[order]))
-    norm = total + ADDED * (distinct + 1)
-
-    def scored(batch: pa.RecordBatch, row: int, levels):
-        """Rows of batch with their scores; levels gives those of n-grams."""
-        _, known, known_counts = shared.value
-        for a, b in wordhash.slices(batch.column("text")):
-            piece = batch.slice(a, b - a)
-            t, at = tokens(piece.column("text"))
-            found, place = _found(t, known)
-            exact = np.where(found, known_counts[place], 0) if len(known) else np.zeros(len(t))
-            base = np.where(found, np.log10((exact + ADDED) / norm), 0.0)
-            c = np.where(found, exact, 0.0)
-            c[~found] = _middle(levels(t[~found]), 1, least_bigram)
-            uni = (c + ADDED) / norm
-            seen = np.empty(len(t))  # how often the token before was seen; a text starts as often as one ends
-            seen[1:] = c[:-1]
-            seen[at[:-1]] = c[at[1:] - 1]
-            share = np.minimum(_middle(levels(bigrams(t, at)), 2, least_bigram) / np.maximum(seen, 1), 1.0)
-            weight = seen / (seen + UNIGRAM_WEIGHT)
-            log = np.log10(weight * share + (1 - weight * share) * uni)
-            starts_at = at[:-1]
-            rare = [np.unique(t[x:y][~found[x:y]]) if not found[x:y].all() else None for x, y in zip(starts_at, at[1:], strict=True)]
-            times = [None if r is None else np.bincount(np.searchsorted(r, t[x:y][~found[x:y]])).tolist() for r, x, y in zip(rare, starts_at, at[1:], strict=True)]
-            n = b - a
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row + a + np.arange(n)), piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(at)), pa.array(np.add.reduceat(found.astype(np.int64), starts_at)), pa.array(np.add.reduceat(base, starts_at)), pa.array(np.add.reduceat(log, starts_at)),
-                 pa.array([None if r is None else r.view(np.int64) for r in rare], pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
-            )
+    total, known, entries = counts.rows.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "known", "entries"))).head()
+    norm = total + ADDED * (known + 1)
+    bits = segment_bits(counts, bits_each)
+    source = docs.select("doc_id", held_out().alias("held_out"), "text")
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCORES}"
+    if int(bits.sum()) // 8 + known * TOKEN_BYTES <= model_bytes:
+        shared = spark.sparkContext.broadcast((build_filter(counts, bits), gather_tokens(counts.rows.where("kind <> 2").select("kind", "data").toLocalIterator())))
 
-    def each(batches):
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            yield from scored(batch, row, shared.value[0].levels)
-            row += batch.num_rows
+        def each(batches):
+            bloom, table = shared.value
+            for batch in batches:
+                yield from _scored(batch, table.find, bloom.levels, norm)
 
-    def each_chunk(batches):
-        row = TaskContext.get().partitionId() << 33
-        for table in common.groups(batches, ["chunk"]):
-            texts = table.filter(pc.is_null(table["segment"]))
-            h = _asked(texts["text"], shared.value[1])
-            levels = np.frombuffer(b"".join(table["levels"].drop_null().to_pylist()), np.uint8)  # by segment, so by hash
+        out = source.mapInArrow(each, kind)
+    else:
+        texts = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(text_bytes(docs) // chunk_bytes + 1)))
+        out = _by_segment(texts, counts, bits, norm, kind)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
 
-            def look_up(x, h=h, levels=levels):
-                return levels[np.searchsorted(h, x)].astype(np.int64) if len(x) else np.zeros(0, np.int64)
 
-            for batch in texts.to_batches():
-                yield from scored(batch, row, look_up)
-                row += batch.num_rows
+def _asked(texts, lay: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens and bigrams that texts look up, ascending within segments, and the bigrams' segments."""
+    ones, twos = [np.array([_START])], []
+    for piece in texts.chunks:
+        for a, b in wordhash.slices(piece):
+            t, at = tokens(piece.slice(a, b - a))
+            h = history(t, at)
+            f = bigrams(h, tails(h, t))
+            ones.append(np.unique(t))
+            f, first = np.unique(f, return_index=True)
+            twos.append((f, lay.of_bigrams(h[first], f)))
+    f, first = np.unique(np.concatenate([x for x, _ in twos]), return_index=True)
+    segment = np.concatenate([s for _, s in twos])[first]
+    order = np.argsort(segment, kind="stable")
+    return np.unique(np.concatenate(ones)), f[order], segment[order]
+
+
+def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float, kind: str) -> DataFrame:
+    """Scores of texts by a model that no worker holds as a whole."""
+    spark, lay = texts.sparkSession, counts.layout
+    hot = gather_tokens(counts.rows.where("kind = 3").select("kind", "data").toLocalIterator())  # at most HOT + 1 tokens
+    spread = texts.repartition(common.partitions(spark), "chunk")  # one shuffle serves the asking and the scoring
 
-    source = docs.select("doc_id", held_out().alias("held_out"), "text")
-    kind = "row long, doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"
-    if small:
-        first = common.written(source.mapInArrow(each, kind), "scores")
-    else:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
-        texts = source.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // chunk_bytes + 1)))
-        levels = levels_by_segment(texts, filter_pieces(counts, bits, least_bigram), bits, shared)
-        both = texts.unionByName(levels, allowMissingColumns=True).repartition(common.partitions(spark), "chunk").sortWithinPartitions("chunk", "segment")
-        first = common.written(both.mapInArrow(each_chunk, kind), "scores")
-    rare = first.where("rare is not null").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
-    rare = rare.join(ones.where(F.floor(8 * F.log2(F.col("c").cast("double"))) < cut).select("hash", "c"), "hash", "left")
-    c = F.coalesce("c", F.lit(0))
-    more = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known_more"), F.sum(F.col("times") * F.log10((c + F.lit(ADDED)) / F.lit(norm))).alias("base_more"))
-    both = first.drop("rare", "times").join(more, "row", "left")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known_more", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), "score")
+    def ask(batches):
+        for table in common.groups(batches, ["chunk"]):
+            one, two, segment = _asked(table["text"], lay)
+            rows = [(s, 1, _packed(one[a:b])) for s, a, b in _runs(lay.of_tokens(one))] + [(s, 2, _packed(two[a:b])) for s, a, b in _runs(segment)]
+            at, kinds, data = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(data, pa.binary())], names=["segment", "kind", "chunk", "data"])
+
+    def answer(batches):
+        last, mine = None, None
+        for batch in batches:
+            out = []
+            for s, k, chunk, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (s, k) != last:
+                    last, mine = (s, k), Tokens(*[np.zeros(0, np.int64)] * 3) if k == 1 else np.zeros(int(bits[s]) // 8, np.uint8)
+                if chunk < 0:  # the segment's own comes first
+                    if k == 1:
+                        h, n, q = _unpacked(raw, 3)
+                        mine = Tokens(h, n.astype(np.int64), q.astype(np.int64))
+                    else:
+                        mine = np.frombuffer(raw, np.uint8)
+                else:
+                    h = _unpacked(raw)[0]
+                    if k == 1:
+                        n, q = mine.find(h)
+                        got = _packed(h, n, q)
+                    else:
+                        got = levels(mine, np.zeros(len(h), np.uint64), np.full(len(h), bits[s]), h).astype(np.uint8).tobytes()
+                    out.append((chunk, k, s, got))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "segment", "data"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, two, segment = _asked(left["text"], lay)
+        right = right.sort_by([("kind", "ascending"), ("segment", "ascending")])
+        kinds, data = right["kind"].to_pylist(), right["data"].to_pylist()
+        h, n, q = (x.astype(np.int64) if i else x for i, x in enumerate(_all_of([d for k, d in zip(kinds, data, strict=True) if k == 1], 3)))
+        table = Tokens(h, n, q + hot.find(h)[1])
+        level = np.frombuffer(b"".join(d for k, d in zip(kinds, data, strict=True) if k == 2), np.uint8).astype(np.int64)
+        order = np.argsort(two)
+        two, level = two[order], level[order]
+        look_up = lambda _, f: level[np.searchsorted(two, f)]
+        return pa.Table.from_batches([x for batch in left.to_batches() for x in _scored(batch, table.find, look_up, norm)])
+
+    asked = spread.sortWithinPartitions("chunk").mapInArrow(ask, "segment int, kind int, chunk long, data binary")
+    own = counts.rows.where("kind = 1").select("segment", "kind", F.lit(-1).cast("long").alias("chunk"), "data")
+    own = own.unionByName(filter_pieces(counts, bits).select("segment", F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("data")))
+    answers = own.unionByName(asked).repartition(common.partitions(spark), "segment").sortWithinPartitions("segment", "kind", "chunk").mapInArrow(answer, "chunk long, kind int, segment int, data binary")
+    return spread.groupBy("chunk").cogroup(answers.repartition(common.partitions(spark), "chunk").groupBy("chunk")).applyInArrow(score, kind)
 
 
 def score(docs: DataFrame, **options) -> DataFrame:
     """score_texts() of docs by a model of those rows that are not held out."""
-    counts = common.written(count_ngrams(docs.where(~held_out())), "ngrams")
-    return score_texts(docs, counts, **options)
+    return score_texts(docs, count_ngrams(docs.where(~held_out())), **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from logmill.llm import common, decontamination, embedding_dedup, html_extraction, language_id, line_dedup, lm_scoring, mixing, ngram_join, token_output
+from logmill.llm import decontamination, embedding_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join, token_output
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
@@ -128,40 +128,6 @@ def test_language_id(spark):
     assert language_id.learn(df.limit(0)) is None and language_id.identify(df, None).where("lang_pred <> 'und'").count() == 0
 
 
-def test_lm_scoring(spark, docs):
-    got = {r.doc_id: r for r in lm_scoring.score(docs, frequent=2).collect()}
-    same = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
-    assert all(abs(got[i].base_score - same[i].base_score) < 1e-6 * abs(same[i].base_score) and got[i].n_known == same[i].n_known for i in got)
-    assert got[2].n_tokens == 1 and got[0].n_tokens == 7 and all(r.score <= 0 for r in same.values())
-    assert lm_scoring.score(docs.limit(0)).count() == 0
-    h = lm_scoring.wordhash.mix64(np.arange(1, 2000, dtype=np.uint64))
-    counts = common.written(spark.createDataFrame([(2, int(x), 2 ** (i % 5 + 1)) for i, x in enumerate(h.view(np.int64))], "n byte, hash long, c long"), "t")
-    assert (lm_scoring.build_filter(counts).levels(h) >= np.arange(1999) % 5 + 1).all()
-
-
-def test_lm_filter_beyond_the_broadcast_bound(spark, docs):
-    """However large the filter, no n-gram is left out and scores are the same."""
-    for options in ({}, {"frequent": 2}):
-        want = sorted(lm_scoring.score(docs, **options).collect(), key=str)
-        got = sorted(lm_scoring.score(docs, filter_bytes=64, **options).collect(), key=str)
-        assert [r[:5] for r in got] == [r[:5] for r in want] and np.allclose([r[5:] for r in got], [r[5:] for r in want])
-    counts = common.written(lm_scoring.count_ngrams(docs), "t")
-    many = sorted(lm_scoring.score_texts(docs, counts, filter_bytes=64, chunk_bytes=100).collect(), key=str)
-    assert np.allclose([r.score for r in many], [r.score for r in sorted(lm_scoring.score_texts(docs, counts).collect(), key=str)])
-    assert lm_scoring.score(docs.limit(0), filter_bytes=64).count() == 0
-
-
-def test_lm_bigrams_seen_once(spark):
-    """A bigram that comes once in training is level 1, and its text scores above one of new bigrams."""
-    df = spark.createDataFrame([(0, "a b c d e f")], "doc_id long, text string")
-    counts = common.written(lm_scoring.count_ngrams(df), "t")
-    once = np.array([r.hash for r in counts.where("n = 2 and c = 1").collect()], np.int64).view(np.uint64)
-    assert len(once) == 7 and (lm_scoring.build_filter(counts).levels(once) >= 1).all()
-    both = spark.createDataFrame([(1, "a b c d e f"), (2, "b a d c f e")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm_scoring.score_texts(both, counts).collect()}
-    assert got[1] > got[2] + 1
-
-
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
