@@ -10,7 +10,9 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Most bytes an operator broadcasts; larger sides go through a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -66,7 +68,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The columns `names` of df (all), called c0, c1, ..., which no operator calls its own columns."""
+    names = df.columns if names is None else names
+    return df.select(*(F.col(quoted(name)).alias(f"c{i}") for i, name in enumerate(names)))
+
+
+def named(names: list[str]) -> list[Column]:
+    """The columns of plain() by the names that they had."""
+    return [F.col(f"c{i}").alias(name) for i, name in enumerate(names)]
+
+
+def kinds(df: DataFrame, more: str) -> T.StructType:
+    """The schema of df and of further columns after it, all nullable."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in df.schema] + T.StructType.fromDDL(more).fields)
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType) -> DataFrame:
     """mapInArrow of a function of one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

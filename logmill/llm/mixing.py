@@ -1,16 +1,21 @@
 """Mixing sources to target weights by pivotal dependent rounding (operator 10).
 
 Every document of a source should come `rate` times (target over size of the
-source): the whole part always, the fraction as a probability.  Documents are
-paired; a pair randomly transfers words, as probability times size, until one of
-the two is 0 or 1, and the other goes on to the next pair.  That runs in chunks
-of sorted documents, largest first; what each chunk has left, one document,
-enters the next level of a reduction tree, until a source has one left, which is
-drawn.  So the words of a source sum to its target but for one document, a small
-one mostly.
-
-Everything is DataFrame and SQL functions; random numbers are hashes, so reruns
-agree.
+source): the whole part always, the fraction as a probability.  Probability is
+transferred at random, as words, until one side of a pair is 0 or 1.
+
+The few large documents of a source (over 1 of LARGE parts of it, so LARGE at
+most) go first, the largest before the others; each is paired with all smaller
+documents together, which share one probability.  So a large document is settled
+and the smaller ones make up for it.  Then the small documents are paired with
+each other, in chunks; what each chunk has left, one document, enters the next
+level of a reduction tree, until a source has one left, which is drawn.  The words
+of a source miss the target by that small document at most, unless its documents
+are so few or uneven that no smaller ones could make up for a large one.
+
+Everything is DataFrame and SQL functions.  Random numbers and chunks are hashes
+of the rows, so reruns agree however the rows lie and whatever the number of
+partitions.
 """
 
 from __future__ import annotations
@@ -23,11 +28,20 @@ from . import common
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-#: Documents that one pivotal chain runs over.
+#: A document is large if it has more than one of so many parts of its source's words.
+LARGE = 1000
+#: Small documents that one pivotal chain runs over, about.
 CHUNK = 64
+#: Probabilities nearer to 0 or 1 than this are 0 or 1.
+NIL = 1e-9
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+def _random(seed: int, *of: Column | int) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *(F.lit(x) if isinstance(x, int) else x for x in of)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """source, source_size, target of each source of (source, size).
 
@@ -52,12 +66,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return t.select("source", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(F.col("w") * F.col("level")).alias("target"))
 
 
+def _settle(units: Column, p: Column, words: Column, seed: int) -> Column:
+    """Large documents settled from the largest on: takes ("0" or "1" for each) and p, which all smaller documents have then.
+
+    units is an array of structs (below, u) in ascending order of below, the
+    size made negative; p is the probability of all documents of the source and
+    words their size together.  A document is settled at random where the smaller
+    ones can make up for either outcome, else the way that they can make up for,
+    and if they can for none, the way that leaves the words nearer to the target.
+    """
+
+    def meet(state: Column, x: Column) -> Column:
+        p, size = state["p"], -x["below"]
+        pool = state["words"] - size
+        lack, excess = (1 - p) * size, p * size  # what the others give if it is taken, and get if not
+        gives, gets = lack <= p * pool + NIL, excess <= (1 - p) * pool + NIL
+        take = F.when(gives & gets, _random(seed, -2, x["u"]) < p).when(gives | gets, gives).otherwise(F.abs(lack - p * pool) < F.abs(excess - (1 - p) * pool))
+        after = F.when(pool <= 0, p).otherwise((p * state["words"] - F.when(take, size).otherwise(0)) / pool)
+        after = F.when(after < NIL, 0.0).when(after > 1 - NIL, 1.0).otherwise(after)
+        return F.struct(F.concat(state["takes"], F.when(take, "1").otherwise("0")).alias("takes"), after.alias("p"), pool.alias("words"))
+
+    return F.aggregate(units, F.struct(F.lit("").alias("takes"), p.alias("p"), words.cast("double").alias("words")), meet)
+
+
 def _chain(units: Column, seed: int, level: int) -> Column:
     """One pivotal chain over an array of structs (u, size, p): done (u, take) and left (u, size, p)."""
 
     def meet(state: Column, b: Column) -> Column:
         a = state["left"]
-        r = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), a["u"], b["u"]), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        r = _random(seed, level, a["u"], b["u"])
         # words that a can gain or lose before it is whole, and b likewise
         a_up, a_down, b_up, b_down = (1 - a["p"]) * a["size"], a["p"] * a["size"], (1 - b["p"]) * b["size"], b["p"] * b["size"]
         to_a, to_b = F.least(a_up, b_down), F.least(a_down, b_up)
@@ -72,37 +109,29 @@ def _chain(units: Column, seed: int, level: int) -> Column:
     first = F.element_at(units, 1)
     none = F.slice(F.transform(units, lambda x: F.struct(x["u"].alias("u"), F.lit(0).alias("take"))), 1, 0)
     start = F.struct(none.alias("done"), F.struct(first["u"].alias("u"), first["size"].alias("size"), first["p"].alias("p")).alias("left"))
-    return F.aggregate(F.slice(units, 2, CHUNK), start, meet)
+    return F.aggregate(F.slice(units, F.lit(2), F.size(units)), start, meet)
 
 
-def pivotal(units: DataFrame, seed: int = 0) -> DataFrame:
-    """0 or 1 for each row of (source, size, id, tie, p), in expectation p, as id, tie, take.
+def pivotal(units: DataFrame, chunks: int, seed: int = 0) -> DataFrame:
+    """0 or 1 for each row of (source, size, id, tie, p, chunk), in expectation p, as id, tie, take.
 
     The sizes taken of a source sum to the sum of size * p but for the size of
-    one row.  p is in (0, 1), size above 0.  Runs with the same rows, seed and
-    number of shuffle partitions agree, however the rows lie.
+    one row.  p is in (0, 1), size above 0; chunk is at least 0 and below `chunks`.
     """
-    order = [F.col("source"), F.col("size").desc(), F.col("u")]
-    units = units.select("source", "size", F.struct("id", "tie").alias("u"), "p")
-    # dealt by hash: ranges are drawn from a sample, which differs between runs
-    dealt = units.repartition(common.partitions(units.sparkSession), "u").sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    units = dealt.withColumns({"part": F.shiftright("at", 33), "chunk": F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / CHUNK)})
-    level, out = 0, None
+    units, level, out = units.select("source", "chunk", "size", F.struct("id", "tie").alias("u"), "p"), 0, None
     while True:
-        # what each chunk has left meets first that of its part of the order, then that of other parts
-        chains = units.groupBy("source", "part", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("below"), "at", "u", "size", "p"))).alias("units"))
-        ran = common.written(chains.select("source", "part", "chunk", F.element_at("units", 1)["at"].alias("at"), _chain(F.col("units"), seed, level).alias("c")), "mix")
+        # largest first; what a chunk has left meets that of other chunks at the next level
+        chains = units.groupBy("source", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("below"), "u", "size", "p"))).alias("units"))
+        ran = common.written(chains.select("source", "chunk", _chain(F.col("units"), seed, level).alias("c")), "mix")
         done = ran.select(F.explode("c.done").alias("d")).select("d.u.id", "d.u.tie", "d.take")
         out = done if out is None else out.union(done)
-        units = ran.select("source", "part", "chunk", "at", "c.left.size", "c.left.u", "c.left.p")
-        chunk, part = units.agg(F.max("chunk"), F.max("part")).head()
+        units = ran.select("source", F.floor(F.col("chunk") / CHUNK).alias("chunk"), "c.left.size", "c.left.u", "c.left.p")
         level += 1
-        if not chunk and not part:
+        if chunks <= 1:
             break
-        units = units.withColumn("chunk", F.floor(F.col("chunk") / CHUNK)) if chunk else units.withColumn("part", F.floor(F.col("part") / CHUNK))
-    r = F.pmod(F.xxhash64(F.lit(seed), F.lit(-1), "u"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        chunks = -(-chunks // CHUNK)
     # what adds up to a whole number but for rounding is taken as such
-    last = F.when(F.col("p") > 1 - 1e-9, 1).when(F.col("p") < 1e-9, 0).otherwise((r < F.col("p")).cast("int"))
+    last = F.when(F.col("p") > 1 - NIL, 1).when(F.col("p") < NIL, 0).otherwise((_random(seed, -1, F.col("u")) < F.col("p")).cast("int"))
     return out.union(units.select("u.id", "u.tie", last.alias("take")))
 
 
@@ -124,26 +153,46 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = S
     t = targets.withColumnRenamed("source", "name")
     each = alike.join(t, alike.source.eqNullSafe(t.name)).drop("name").withColumn("tie", F.explode(F.sequence(F.lit(1), "alike")))
     each = each.withColumn("rate", F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    each = common.written(each.withColumns({"whole": F.floor("rate").cast("int"), "p": F.col("rate") - F.floor("rate"), "id": F.struct("doc_id", "th", "source")}), "rates")
-    drawn = pivotal(each.where("p > 0").select("source", "size", "id", "tie", "p"), seed).select(F.col("id.doc_id").alias("d"), F.col("id.th").alias("h"), F.col("id.source").alias("s"), F.col("tie").alias("n"), "take")
+    whole = F.floor(F.col("rate") + NIL).cast("int")
+    p = F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))
+    each = each.withColumn("whole", whole).withColumns({"p": F.when(p > NIL, p).otherwise(0.0), "large": F.col("size") * LARGE > F.col("source_size"), "id": F.struct("doc_id", "th", "source")})
+    each = common.written(each, "rates")
+    open_ = each.where("p > 0")
+
+    # large documents, an array of at most LARGE a source
+    arrays = open_.where("large").groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.negative("size").alias("below"), F.struct("id", "tie").alias("u")))).alias("units"), F.first("p").alias("p"), F.first("source_size").alias("words"))
+    settled = common.written(arrays.select("source", "units", _settle(F.col("units"), F.col("p"), F.col("words"), seed).alias("s")), "large")
+    drawn = settled.select(F.explode(F.transform("units", lambda x, i: F.struct(x["u"].alias("u"), F.substring(F.col("s.takes"), i + 1, F.lit(1)).cast("int").alias("take")))).alias("d")).select("d.u.id", "d.u.tie", "d.take")
+
+    # small ones, with the probability that the large ones left
+    per = open_.where("not large").groupBy("source").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    per = per.join(settled.select(F.col("source").alias("name"), F.col("s.p").alias("after")), F.col("source").eqNullSafe(F.col("name")), "left").drop("name").withColumnRenamed("source", "name")
+    per = common.written(per, "sources")
+    most = per.agg(F.max("chunks")).head()[0]
+    if most:
+        small = open_.where("not large").join(per, F.col("source").eqNullSafe(F.col("name"))).withColumn("p", F.coalesce("after", "p"))
+        small = small.select("source", "size", "id", "tie", "p", F.pmod(F.xxhash64(F.lit(seed), "id", "tie"), F.col("chunks")).alias("chunk"))
+        sure = small.where(f"p < {NIL} or p > 1 - {NIL}").select("id", "tie", F.round("p").cast("int").alias("take"))
+        drawn = drawn.union(sure).union(pivotal(small.where(f"p >= {NIL} and p <= 1 - {NIL}"), most, seed))
+    drawn = drawn.select(F.col("id.doc_id").alias("d"), F.col("id.th").alias("h"), F.col("id.source").alias("s"), F.col("tie").alias("n"), "take")
     both = each.join(drawn, each.doc_id.eqNullSafe(drawn.d) & (each.th == drawn.h) & each.source.eqNullSafe(drawn.s) & (each.tie == drawn.n), "left")
     copies = (F.col("whole") + F.coalesce("take", F.lit(0))).cast("long")
     return both.select("doc_id", "th", "source", "tie", "alike", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, as often as mix() takes them.
+    """The rows of docs, all columns, whatever their names, as often as mix() takes them.
 
     Of rows equal in doc_id, text and source, one comes for all of them.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "th", "source").agg(F.sum("copies").cast("int").alias("_n"), F.first("alike").alias("_alike")).where("_n > 0")
-    taken = common.written(taken.withColumnsRenamed({"doc_id": "_d", "th": "_h", "source": "_s"}), "taken")
-    names = [f"`{c}`" for c in docs.columns]
-    rows = docs.withColumn("_th", F.xxhash64("text"))
+    taken = mix(docs, **options).groupBy("doc_id", "th", "source").agg(F.sum("copies").cast("int").alias("n"), F.first("alike").alias("alike")).where("n > 0")
+    taken = common.written(taken.withColumnsRenamed({"doc_id": "d", "th": "h", "source": "s"}), "taken")
+    rows = common.plain(docs)
+    doc_id, text, source = (F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text", "source"))
     small = F.broadcast(taken) if taken.count() * 100 <= common.BROADCAST_BYTES else taken
-    rows = rows.join(small, rows["doc_id"].eqNullSafe(F.col("_d")) & (rows["_th"] == F.col("_h")) & rows["source"].eqNullSafe(F.col("_s")))
-    one = rows.where("_alike = 1").unionByName(rows.where("_alike > 1").dropDuplicates(["doc_id", "_th", "source"]))
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(*names)
+    rows = rows.withColumn("th", F.xxhash64(text)).join(small, doc_id.eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")) & source.eqNullSafe(F.col("s")))
+    one = rows.where("alike = 1").unionByName(rows.where("alike > 1").dropDuplicates(["d", "h", "s"]))
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(1), "n"))).select(*common.named(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
