@@ -59,6 +59,7 @@ _END = np.uint64(0x243F6A8885A308D3)
 _START = np.uint64(0x13198A2E03707344)
 _PAIR = np.uint64(0xA4093822299F31D1)
 _TAIL = np.uint64((1 << 40) - 1)
+_LOW = np.uint64((1 << 16) - 1)
 
 #: Five times the middle of the counts of each level, as whole numbers: 1, then 1.4 times the least.
 MIDDLE5 = np.array([0, 5, *(7 << n for n in range(1, 55))], np.int64)
@@ -87,8 +88,8 @@ def tails(h: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def bigrams(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """The hash by which a bigram is in the filter."""
-    return wordhash.mix64(h ^ (tail * _PAIR + np.uint64(1)))
+    """The hash by which a bigram is in the filter: the upper 48 bits, which are told apart far better than a filter does."""
+    return wordhash.mix64(h ^ (tail * _PAIR + np.uint64(1))) & ~_LOW
 
 
 def held_out():
@@ -240,7 +241,7 @@ def _add(lay: Layout):
             order = np.argsort(f)
             hot = lay.is_hot(firsts)
             known, n, q = _summed(np.concatenate([h, firsts[~hot]]), np.concatenate([n, np.zeros(int((~hot).sum()), np.int64)]), np.concatenate([np.zeros(len(h), np.int64), mass[~hot]]))
-            out = [(1, _packed(known, n, q), int(n.sum()), int((n > 0).sum()), 0), (2, _packed(f[order], level[order]), 0, 0, int(level.sum())), (3, _packed(firsts[hot], mass[hot]), 0, 0, 0)]
+            out = [(1, _packed(known, n, q), int(n.sum()), int((n > 0).sum()), 0), (2, _packed(f[order] >> np.uint64(16), level[order]), 0, 0, int(level.sum())), (3, _packed(firsts[hot], mass[hot]), 0, 0, 0)]
             kind, data, total, distinct, entries = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([own] * 3, pa.int32()), pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, distinct, entries))], names=[x.split()[0] for x in _COUNTS.split(", ")])
 
@@ -296,6 +297,7 @@ def filter_pieces(counts: Counts, bits: np.ndarray) -> DataFrame:
         out = []
         for s, raw in zip(batch.column("segment").to_pylist(), batch.column("data").to_pylist(), strict=True):
             h, level = _unpacked(raw, 2)
+            h <<= np.uint64(16)
             flags = np.zeros(int(bits[s]), bool)
             for k in range(1, int(level.max(initial=0)) + 1):
                 x, y = _seeds(h[level >= k], k)
@@ -440,7 +442,7 @@ def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float,
     def ask(batches):
         for table in common.groups(batches, ["chunk"]):
             one, two, segment = _asked(table["text"], lay)
-            rows = [(s, 1, _packed(one[a:b])) for s, a, b in _runs(lay.of_tokens(one))] + [(s, 2, _packed(two[a:b])) for s, a, b in _runs(segment)]
+            rows = [(s, 1, _packed(one[a:b])) for s, a, b in _runs(lay.of_tokens(one))] + [(s, 2, _packed(two[a:b] >> np.uint64(16))) for s, a, b in _runs(segment)]
             at, kinds, data = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(data, pa.binary())], names=["segment", "kind", "chunk", "data"])
 
@@ -460,21 +462,21 @@ def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float,
                 else:
                     h = _unpacked(raw)[0]
                     if k == 1:
-                        n, q = mine.find(h)
-                        got = _packed(h, n, q)
+                        got = _packed(np.zeros(len(h), np.uint64), *mine.find(h))
                     else:
-                        got = levels(mine, np.zeros(len(h), np.uint64), np.full(len(h), bits[s]), h).astype(np.uint8).tobytes()
+                        h <<= np.uint64(16)
+                        got = _packed(np.zeros(len(h), np.uint64), levels(mine, np.zeros(len(h), np.uint64), np.full(len(h), bits[s]), h))
                     out.append((chunk, k, s, got))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "segment", "data"])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, two, segment = _asked(left["text"], lay)
-        right = right.sort_by([("kind", "ascending"), ("segment", "ascending")])
+        one, two, _ = _asked(left["text"], lay)
+        right = right.sort_by([("kind", "ascending"), ("segment", "ascending")])  # the order in which they were asked
         kinds, data = right["kind"].to_pylist(), right["data"].to_pylist()
-        h, n, q = (x.astype(np.int64) if i else x for i, x in enumerate(_all_of([d for k, d in zip(kinds, data, strict=True) if k == 1], 3)))
-        table = Tokens(h, n, q + hot.find(h)[1])
-        level = np.frombuffer(b"".join(d for k, d in zip(kinds, data, strict=True) if k == 2), np.uint8).astype(np.int64)
+        _, n, q = _all_of([d for k, d in zip(kinds, data, strict=True) if k == 1], 3)
+        table = Tokens(one, n.astype(np.int64), q.astype(np.int64) + hot.find(one)[1])
+        level = _all_of([d for k, d in zip(kinds, data, strict=True) if k == 2], 2)[1].astype(np.int64)
         order = np.argsort(two)
         two, level = two[order], level[order]
         look_up = lambda _, f: level[np.searchsorted(two, f)]
