@@ -39,6 +39,12 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
+def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
+    """What no document should hold of an item: every `size` words in a row; all its words if it has fewer, but not none."""
+    w = words(text)
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def _line(w: list[bytes]) -> tuple[bytes, np.ndarray]:
     """Words with one space around each, and where the spaces are: word i lies between space i and space i + 1."""
     line = b" " + b" ".join(w) + b" "
@@ -48,9 +54,8 @@ def _line(w: list[bytes]) -> tuple[bytes, np.ndarray]:
 class Patterns:
     """All windows of benchmark items, and an automaton of their anchors.
 
-    A window is every `size` words in a row of an item, or all its words if it
-    has fewer, but not none.  It is known by where its words lie in `text`, which
-    has all items' words once.
+    A window (see windows()) is known by where its words lie in `text`, which has
+    all items' words once.
     """
 
     def __init__(self, items: list[tuple[str, str]], size: int) -> None:

@@ -26,8 +26,8 @@ SIZES = (2, 3, 4)
 DIM = 16
 #: Labelled rows of each language in the training sample, about so many at most.
 PER_LANGUAGE = 600
-#: Grams of a sampled row, drawn from its whole text.
-GRAMS = 1024
+#: Bytes of text whose scores are held at a time.
+PIECE_BYTES = 1 << 20
 #: Share of the held-back rows that rejection may cost.
 REJECT = 0.001
 UNKNOWN = "und"
@@ -80,18 +80,21 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Mean scores of each text and its number of grams."""
+    def logits(self, texts: pa.Array, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """Mean scores of each text and its number of grams; a long text is summed up piece by piece."""
         raw, at = padded(texts)
         total, count = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        for found in grams(raw):
-            if not len(found):
-                continue
-            good = found < BUCKETS
-            # cells of a cumulative sum would lose digits: sum by text instead
-            starts = np.minimum(at[:-1], len(found) - 1)
-            total += np.add.reduceat(self.table[found], starts, axis=0)
-            count += np.add.reduceat(good.astype(np.int64), starts)
+        for a in range(0, len(raw), piece):
+            b = min(len(raw), a + piece)
+            first, last = np.searchsorted(at[:-1], a, "right") - 1, np.searchsorted(at[:-1], b)
+            for found in grams(raw[a : b + max(SIZES) - 1]):
+                found = found[: b - a]  # those that begin in the piece
+                starts = np.maximum(at[first:last] - a, 0)
+                starts = starts[starts < len(found)]
+                if len(starts):
+                    rows = slice(first, first + len(starts))
+                    total[rows] += np.add.reduceat(self.table[found], starts, axis=0)
+                    count[rows] += np.add.reduceat((found < BUCKETS).astype(np.int64), starts)
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +110,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray]], *, epochs: int = 12, rate: float = 0.5, seed: int = 3) -> Model:
-    """Fit embeddings and softmax on (language, gram buckets) by SGD, then calibrate on a fifth held back."""
-    languages = sorted({lang for lang, _ in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 12, rate: float = 0.5, seed: int = 3) -> Model:
+    """Fit embeddings and softmax on (language, gram buckets, their counts) by SGD, then calibrate on a fifth held back.
+
+    Each step draws 8 to 512 grams of a row, so that the model knows short texts and long ones.
+    """
+    languages = sorted({r[0] for r in rows})
     rng = np.random.Generator(np.random.PCG64(seed))
     order = rng.permutation(len(rows))
     held, fit = order[: len(rows) // 5], order[len(rows) // 5 :]
-    y = np.array([languages.index(lang) for lang, _ in rows])
+    y = np.array([languages.index(r[0]) for r in rows])
+    upto = [np.cumsum(r[2]) for r in rows]
     e = rng.uniform(-1, 1, (BUCKETS, DIM)) / DIM
     w, b = np.zeros((DIM, len(languages))), np.zeros(len(languages))
     for epoch in range(epochs):
@@ -122,9 +129,7 @@ def train(rows: list[tuple[str, np.ndarray]], *, epochs: int = 12, rate: float =
             g = rows[i][1]
             if not len(g):
                 continue
-            size = min(len(g), int(2 ** rng.uniform(3, 9)))  # short and long pieces
-            start = rng.integers(0, len(g) - size + 1)
-            g = g[start : start + size]
+            g = g[np.searchsorted(upto[i], rng.integers(0, upto[i][-1], int(2 ** rng.uniform(3, 9))), "right")]
             x = e[g].mean(axis=0)
             d = _softmax(x @ w + b)
             d[y[i]] -= 1
@@ -135,7 +140,7 @@ def train(rows: list[tuple[str, np.ndarray]], *, epochs: int = 12, rate: float =
     table = np.zeros((BUCKETS + 1, len(languages)), np.float32)
     table[:BUCKETS] = e @ w
     model = Model(languages, table, b)
-    z = np.array([table[g].mean(axis=0) + b for g in (rows[i][1] for i in held) if len(g)])
+    z = np.array([rows[i][2] @ table[rows[i][1]] / upto[i][-1] + b for i in held if len(rows[i][1])])
     t = y[[i for i in held if len(rows[i][1])]]
     if len(z):
         loss = lambda k: -np.log(_softmax(z / k)[np.arange(len(t)), t] + 1e-12).mean()
@@ -150,19 +155,18 @@ def held_out(column: str = "doc_id"):
 
 
 def _sample(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """lang and gram buckets, up to GRAMS drawn over the whole text, in its order."""
-    out = []
+    """lang, and the distinct gram buckets of the whole text with their counts, BUCKETS of them at most."""
+    buckets, counts = [], []
     for text in batch.column("text"):
         raw, _ = padded(pa.array([text.as_py()], pa.string()))
-        found = np.concatenate(grams(raw))
-        at = np.concatenate([np.arange(len(x)) for x in grams(raw)]) if len(found) else found
-        found = found[np.argsort(at, kind="stable")]
-        found = found[found < BUCKETS]
-        if len(found) > GRAMS:
-            rng = np.random.Generator(np.random.PCG64(len(found)))
-            found = found[np.sort(rng.choice(len(found), GRAMS, replace=False))]
-        out.append(found.astype(np.int32))
-    return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.list_(pa.int32()))], names=["lang", "grams"])
+        n = np.zeros(BUCKETS + 1, np.int64)
+        for a in range(0, len(raw), PIECE_BYTES):
+            b = min(len(raw), a + PIECE_BYTES)
+            for found in grams(raw[a : b + max(SIZES) - 1]):
+                n += np.bincount(found[: b - a], minlength=BUCKETS + 1)
+        buckets.append(np.flatnonzero(n[:BUCKETS]).astype(np.int32))
+        counts.append(n[buckets[-1]])
+    return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int64()))], names=["lang", "grams", "counts"])
 
 
 def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, **options) -> Model | None:
@@ -177,11 +181,14 @@ def learn(docs: DataFrame, *, per_language: int = PER_LANGUAGE, **options) -> Mo
         return None
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    got = common.arrow_map(chosen.select("lang", "text"), _sample, "lang string, grams array<int>").orderBy("lang", "grams").toArrow()
-    rows = list(zip(got["lang"].to_pylist(), (np.array(g, np.int64) for g in got["grams"].to_pylist()), strict=True))
+    got = common.arrow_map(chosen.select("lang", "text"), _sample, "lang string, grams array<int>, counts array<long>").orderBy("lang", "grams", "counts").toLocalIterator()
+    rows = [(r.lang, np.array(r.grams, np.int64), np.array(r.counts, np.int64)) for r in got]
     return train(rows, **options) if rows else None
 
 
+_OUTCOME = "lang_pred string, score double, rejected boolean"
+
+
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
     """The columns in keep (doc_id), lang_pred, score and rejected of each row of docs.
 
@@ -190,22 +197,34 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     text that scores below the model's threshold.  Only text is looked at.
     """
     keep = ["doc_id"] if keep is None else keep
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    return _identified(docs, model, keep).select(*common.named(keep), "lang_pred", "score", "rejected")
+
+
+def known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that identify() doesn't reject, all columns, whatever their names."""
+    return _identified(docs, model, docs.columns).where("not rejected").select(*common.named(docs.columns))
+
+
+def _identified(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """c0, c1, ... for the columns in keep, lang_pred, score and rejected."""
+    names = keep if "text" in keep else [*keep, "text"]
+    at, rows = names.index("text"), common.plain(docs, names)
+    out = common.kinds(rows.select(*rows.columns[: len(keep)]), _OUTCOME)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches):
         m = shared.value
         for batch in batches:
-            for a, b in wordhash.slices(batch.column(len(keep))):
+            for a, b in wordhash.slices(batch.column(at)):
                 part = batch.slice(a, b - a)
-                letters = [has_letter(t.as_py()) for t in part.column(len(keep))]
-                best, score = m.predict(part.column(len(keep))) if m else (np.zeros(b - a, int), np.zeros(b - a))
+                letters = [has_letter(t.as_py()) for t in part.column(at)]
+                best, score = m.predict(part.column(at)) if m else (np.zeros(b - a, int), np.zeros(b - a))
                 fine = np.array(letters, bool) & (m is not None)
                 score = np.where(fine, score, 0.0)
                 lang = [m.languages[i] if f else UNKNOWN for i, f in zip(best, fine, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(lang, pa.string()), pa.array(score), pa.array(~fine | (score < (m.threshold if m else 0)))], names=[*keep, "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(~fine | (score < (m.threshold if m else 0)))], names=out.names)
 
-    return docs.select(*keep, F.col("text").alias("_text_")).mapInArrow(each, ", ".join([*kinds, "lang_pred string, score double, rejected boolean"]))
+    return rows.mapInArrow(each, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

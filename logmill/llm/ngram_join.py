@@ -227,19 +227,19 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, without those that jaccard_join() has no need to keep: one row of each group stays.
+    """The rows of docs, all columns, whatever their names, without those that jaccard_join() has no need to keep: one row of each group stays.
 
     Rows without words all stay.
     """
     joined = common.written(jaccard_join(docs, **options), "joined")
     kept = joined.where("kept").groupBy("doc_id", "th", "linked").agg(F.count("*").alias("alike"))
-    kept = common.written(kept.select(F.col("doc_id").alias("_d"), F.col("th").alias("_h"), (F.col("linked") & (F.col("alike") > 1)).alias("_again")), "kept")
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    names = docs.columns
-    rows = docs.withColumn("_th", th)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_d"]) & (rows["_th"] == kept["_h"]))
-    once = rows.where("_again").dropDuplicates(["doc_id", "_th"])
-    return rows.where("not _again").unionByName(once).select(*(f"`{c}`" for c in names))
+    kept = common.written(kept.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), (F.col("linked") & (F.col("alike") > 1)).alias("again")), "kept")
+    rows = common.plain(docs)
+    doc_id, text = (F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text"))
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce(text, F.lit(""))))
+    rows = rows.join(kept, doc_id.eqNullSafe(F.col("d")) & (F.col("th") == F.col("h")))
+    once = rows.where("again").dropDuplicates(["d", "h"])
+    return rows.where("not again").unionByName(once).select(*common.named(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
