@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; run() writes every stage's rows as Parquet and reads them
-again for the next.
+again for the next.  All stages but the last return the columns that they were
+given, whatever their names beside doc_id, text, lang and source.  Null, empty and
+very long texts, null ids, repeated rows and empty tables are handled as each
+operator says: language ID rejects texts without letters, so those leave first.
 """
 
 from __future__ import annotations
@@ -14,8 +17,7 @@ from logmill.llm import common, decontamination, language_id, mixing, ngram_join
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID doesn't reject; it learns from the labelled ones."""
-    told = language_id.identify(docs, language_id.learn(docs), docs.columns)
-    return told.where("not rejected").select(*(f"`{c}`" for c in docs.columns))
+    return language_id.known(docs, language_id.learn(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by the benchmark."""
-    found = decontamination.decontaminate(docs, common.read(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where("not contaminated").select(*(f"`{c}`" for c in docs.columns))
+    return decontamination.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
