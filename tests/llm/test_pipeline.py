@@ -38,7 +38,7 @@ def folder(spark, tmp_path_factory):
         rows.append((i, " ".join([*w[:-1], "other"]), rows[i - 240][2], "s1"))
     bench = [(k, text("aa", 20)) for k in range(5)] + [(5, "short one"), (6, None), (7, "")]
     rows += [(300 + k, text("aa", 25) + " " + bench[k][1] + " " + text("aa", 25), "aa", "s0") for k in range(5)]
-    rows += [(310, "Short, ONE", "aa", "s0"), (400, None, "aa", "s0"), (401, "", "bb", "s1"), (402, "12 34 !", None, None), (403, text("bb", 20_000), "bb", "s2"), (None, text("aa", 40), None, None)]
+    rows += [(310, "Short, ONE", "aa", "s0"), (400, None, "aa", "s0"), (401, "", "bb", "s1"), (402, "12 34 !", None, None), (403, text("bb", 3_000), "bb", "s2"), (None, text("aa", 40), None, None)]
     rows += [rows[7], rows[7], rows[-1]]  # repeated rows
     path = tmp_path_factory.mktemp("tables")
     full = [(*row, *range(len(CLASHES))) for row in rows]
