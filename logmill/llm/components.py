@@ -24,6 +24,7 @@ def block_pairs(rows: DataFrame, group: list[str], key: str, weight: str | Colum
     sorted by it within partitions.
     """
     sizes = rows.groupBy(*group).agg(F.greatest(F.lit(1), F.ceil(F.sum(weight) / most)).cast("int").alias("blocks"), F.count("*").alias("members")).where("members > 1")
+    sizes = common.written(sizes, "sizes")  # apart from the join, so that adaptive execution can split a large group
     both = rows.join(sizes, group).withColumn("blk", F.pmod(F.xxhash64(key), "blocks").cast("int"))
     pairs = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("blk", "other"), "bj": F.greatest("blk", "other")}).drop("other", "blocks", "members")
     at = [*group, "bi", "bj"]
@@ -80,8 +81,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn hang all neighbours of a node on
     the least of them, until nothing moves: about log(longest path) rounds, each
-    linear in the edges.  Every round is written to the work folder, in files that
-    the number of edges before it sets.
+    linear in the edges.  Every step is written to the work folder, in files that
+    the number of edges before it sets; the least neighbours are written apart from
+    their join with the edges, so that adaptive execution can split a node of very
+    many.
     """
     e = common.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
 
@@ -90,14 +93,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = state(e)
     while now[0]:
+        files = now[0] // FILE_EDGES + 1
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = common.written(near.union(least.select("u", "m")).distinct().coalesce(now[0] // FILE_EDGES + 1), "edges")
-        common.forget(e)
+        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(files), "least")
+        large = common.written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct().coalesce(files), "large")
+        lower = common.written(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
+        near = large.join(lower, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = common.written(near.union(lower.select("u", "m")).distinct().coalesce(files), "edges")
+        for x in (e, least, large, lower):
+            common.forget(x)
         e, before, now = new, now, state(new)
         if now == before:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def group_heads(member: DataFrame, nodes: DataFrame, head: Column) -> DataFrame:
+    """node and head, an aggregate over all nodes of its component, of each node in member (node, component).
+
+    nodes has a row for each node.  Only nodes with links are here, and their
+    components' heads are written apart, so a component of very many can be split.
+    """
+    own = common.written(member.join(nodes, "node"), "own")
+    heads = common.written(own.groupBy("component").agg(head.alias("head")), "heads")
+    return common.written(own.select("node", "component").join(heads, "component").select("node", "head"), "heads")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, wordhash
-from .components import LINKS, Links, block_pairs, components
+from .components import LINKS, Links, block_pairs, components, group_heads
 
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -216,10 +216,11 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     member = components(found.select(F.col("key").alias("a"), F.explode("edges").alias("b")))
 
-    own = classes.join(links, "key", "left").join(member, F.col("key") == F.col("node"), "left")
-    own = common.written(own.select("key", "doc_id", "th", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("component")), "members")
-    heads = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("head"))
-    own = own.join(heads, "component").select("key", "n_links", F.col("doc_id").alias("class_id"), F.col("head.doc_id").alias("group_id"), F.col("head.th").alias("head_th"))
+    first_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    heads = group_heads(member, classes.select(F.col("key").alias("node"), "doc_id", "th"), first_of).select(F.col("node").alias("key"), "head")
+    own = classes.select("key", "doc_id", "th", "copies").join(links, "key", "left").join(heads, "key", "left")
+    alone = F.col("head").isNull()
+    own = own.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("doc_id").alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"), F.when(alone, F.col("th")).otherwise(F.col("head.th")).alias("head_th"))
     out = signed.select("doc_id", "th", "key").join(own, "key", "left")
     lone = F.col("key").isNull()
     out = out.select("doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (lone | (F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("head_th")))).alias("kept"), (~lone).alias("linked"))

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from logmill.llm import common, decontamination, embedding_dedup, html_extraction, language_id, line_dedup, mixing, ngram_join, token_output
+from logmill.llm import common, decontamination, html_extraction, language_id, line_dedup, mixing, ngram_join, token_output
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30_000))
@@ -155,20 +155,6 @@ def test_ngram_join(spark, docs):
     assert 1 - (1 - 0.8**5) ** ngram_join.banding()[0] >= ngram_join.RECALL
 
 
-def test_embeddings(spark):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((40, 8)).astype("f4")
-    vectors = [*x.tolist(), *(x[:10] + 0.05 * rng.standard_normal((10, 8))).astype("f4").tolist(), x[3].tolist(), None, [], [0.0] * 8, [float("nan")] * 8, [None] * 8, [1.0, 2.0], [2.0, 4.0]]
-    df = spark.createDataFrame([(i, v, "c") for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, key string")
-    good = {i: np.array(v, "f8") for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all() and any(v)}
-    got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
-    assert len(got) == len(vectors)
-    for i in got:
-        near = [j for j in good if i in good and j != i and len(good[i]) == len(good[j]) and good[i] @ good[j] >= 0.95 * np.linalg.norm(good[i]) * np.linalg.norm(good[j])]
-        assert got[i].n_links == len(near) and got[i].component_id <= min([i, *near])
-    assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
-
-
 def test_language_id(spark):
     words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["kwik", "zwart", "jurk"]}
     rows = [(i, " ".join(words["ab"[i % 2] * 2][(i + k) % 3] for k in range(8)), "ab"[i % 2] * 2, "c") for i in range(200)]
