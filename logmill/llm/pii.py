@@ -45,6 +45,8 @@ class Kind:
             return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
         if self.name == "phone":
             return F.length(digits).between(8, 15)
+        if self.name == "secret":  # letters and at least 4 digits
+            return match.rlike("[A-Za-z]") & (F.length(digits) >= 4)
         if self.name == "iban":
             return mod97(F.regexp_replace(match, " ", "")) == 1
         return F.lit(True)
@@ -63,6 +65,7 @@ KINDS = (
     Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){15,}+", "", r"card|visa|master|credit|debit|payment|cvv", 0.8),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", r"phone|tel|call|mobile|fax|whatsapp", 0.7),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "", r"iban|account|bank|konto|cuenta|compte", 0.8, base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,256}+(?![A-Za-z0-9_-])", "", r"token|secret|api[_ -]?key|access[_ -]?key|password|passwd|credential|bearer|private[_ -]key", 0.2, 0.5, base=False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", r"ssn|social security", 0.3, 0.5, base=False),
 )
 
@@ -139,10 +142,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    base = [k.name for k in KINDS if k.base]
+    base, added = ([k.name for k in KINDS if k.base == b] for b in (True, False))
     named = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     found = find_personal_data(docs).select("doc_id", "spans")
     kinds = F.transform("spans", lambda x: x["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{n}") for n in base]
+    counts, more = ([(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{n}") for n in names] for names in (base, added))
     digest = F.sha2(F.concat_ws(",", F.transform(F.filter("spans", lambda x: x["kind"].isin(base)), named)), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.concat_ws(",", F.transform("spans", named)).alias("spans"))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), F.concat_ws(",", F.transform("spans", named)).alias("spans"), *more, F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0.0), lambda s, x: F.greatest(s, x["score"])).alias("score"))

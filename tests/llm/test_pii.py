@@ -45,7 +45,7 @@ def test_base_spans_equal_brute_force(spark):
         assert all((TEXTS[r.doc_id] or "")[s.start : s.end] == s.text for s in r.spans)
 
 
-@pytest.mark.parametrize("text, kinds", [("IBAN DE89 3704 0044 0532 0130 00 paid", ["iban"]), ("DE88 3704 0044 0532 0130 00", []), ("my SSN is 123-45-6789", ["ssn"]), ("part 123-45-6789", []), ("GB82WEST12345698765432", ["iban"])])
+@pytest.mark.parametrize("text, kinds", [("IBAN DE89 3704 0044 0532 0130 00 paid", ["iban"]), ("DE88 3704 0044 0532 0130 00", []), ("my SSN is 123-45-6789", ["ssn"]), ("part 123-45-6789", []), ("GB82WEST12345698765432", ["iban"]), ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x', ["secret"]), ("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", []), ("password: correct-horse-battery", []), ("API_KEY=sk-a1b2c3d4e5f6g7h8i9j0", ["secret"]), ("token " + "a1" * 200, [])])
 def test_checksums_and_context(spark, text, kinds):
     (r,) = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [s.kind for s in r.spans] == kinds
@@ -58,6 +58,7 @@ def test_query_and_redaction(spark, tmp_path):
     assert len(rows) == 3
     r = next(r for r in rows if r.doc_id)
     assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (1, 1, 0, 0, "email:0:5,ip:10:18")
+    assert (r.n_iban, r.n_secret, r.n_ssn, r.n_spans, r.score) == (0, 0, 0, 2, 0.9)
     assert r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
     assert next(r for r in rows if r.doc_id is None).base_sha256 == hashlib.sha256(b"").hexdigest()
     assert {r.redacted for r in pii.redact(df).collect()} == {"<email> and <ip>", ""}
