@@ -31,7 +31,9 @@ def escape_like(text: str) -> str:
 
 
 def _day(us: int) -> Column:
-    return F.lit((datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)).date())
+    """The day of an instant, as far as there are days in the calendar."""
+    first, last = (int((d - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) * 1_000_000 for d in (datetime.min.replace(tzinfo=UTC), datetime(9999, 12, 31, tzinfo=UTC)))
+    return F.lit((datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=min(max(us, first), last))).date().isoformat()).cast("date")
 
 
 @dataclass(frozen=True)

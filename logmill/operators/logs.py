@@ -47,6 +47,12 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("id"), format_ms(F.col("ts")).alias("timestamp"), level_name(F.col("level_code")).alias("level"), "service", "message", "attributes")
 
 
+def json_rows(rows: DataFrame) -> DataFrame:
+    """id and json, the record as it is returned, of each row: attributes is an object, as it was stored."""
+    name = F.to_json(F.struct(F.col("id").cast("string").alias("id"), format_ms(F.col("ts")).alias("timestamp"), level_name(F.col("level_code")).alias("level"), "service", "message", F.parse_json("attributes").alias("attributes")))
+    return rows.select("id", name.alias("json"))
+
+
 def page(logs: DataFrame, params: Params | LogQuery) -> dict:
     """{"logs": [...], "next_cursor": text or None}; next_cursor is set if there are more rows."""
     query = params if isinstance(params, LogQuery) else LogQuery.parse(params)

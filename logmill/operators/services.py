@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a dictionary up to which it is broadcast.
-MOST_BROADCAST = 1_000_000
+#: Bytes of a dictionary up to which it is broadcast.
+MOST_BROADCAST = 64 << 20
 
 
 def _side(dictionary: DataFrame) -> DataFrame:
-    return F.broadcast(dictionary) if dictionary.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else dictionary
+    """The dictionary, broadcast if its rows and names are small; a join that adaptive execution plans else."""
+    rows, size = dictionary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("name").cast("long")), F.lit(0))).head()
+    return F.broadcast(dictionary) if size + 32 * rows <= MOST_BROADCAST else dictionary
 
 
 def with_names(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -20,8 +22,10 @@ def with_names(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """rows whose service is registered, with its service_id."""
-    return rows.join(_side(dictionary.select("service_id", F.col("name").alias("service"))), "service")
+    """rows with their service's service_id; a service that the dictionary lacks is an error."""
+    d = _side(dictionary.select("service_id", "name"))
+    missing = F.raise_error(F.concat(F.lit("unregistered service: "), F.coalesce("service", F.lit("null")))).cast("int")
+    return rows.join(d, rows["service"] == F.col("name"), "left").withColumn("service_id", F.coalesce("service_id", missing)).drop("name")
 
 
 def unregistered(rows: DataFrame, dictionary: DataFrame) -> DataFrame:

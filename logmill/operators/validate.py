@@ -7,7 +7,6 @@ attributes is named.  A batch in which an object repeats a key is malformed.
 
 from __future__ import annotations
 
-import json
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
@@ -29,20 +28,30 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once, however often later expressions name them.
+
+    They pass through a generator of one row, behind which the optimiser can't copy them.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def envelopes(bodies: DataFrame, column: str = "value") -> DataFrame:
     """batch columns plus entries (array of variants) and error: why the whole body is refused, or null."""
     body = F.col(column)
-    parsed = F.try_parse_json(body)
-    entries = F.try_variant_get(parsed, "$.logs", "array<variant>")
+    own = [f"`{c}`" for c in bodies.columns]
+    parsed = once(bodies, _body=F.try_parse_json(body))
+    taken = once(parsed, _list=F.try_variant_get("_body", "$.logs", "array<variant>"))
     error = (
         F.when(F.octet_length(body) > MAX_BODY, "request body too large")
         .when(F.coalesce(F.length(F.trim(body)), F.lit(0)) == 0, "request body is empty")
-        .when(parsed.isNull(), "request body is not valid JSON")
-        .when((_kind(parsed) != "OBJECT") | entries.isNull(), "body must be an object with a logs array")
-        .when(F.size(entries) == 0, "logs must not be empty")
-        .when(F.size(entries) > MAX_ENTRIES, f"logs exceeds {MAX_ENTRIES} entries")
+        .when(F.col("_body").isNull(), "request body is not valid JSON")
+        .when(F.col("_list").isNull(), "body must be an object with a logs array")
+        .when(F.size("_list") == 0, "logs must not be empty")
+        .when(F.size("_list") > MAX_ENTRIES, f"logs exceeds {MAX_ENTRIES} entries")
     )
-    return bodies.withColumns({"entries": F.when(error.isNull(), entries), "error": error})
+    told = once(taken, error=error)
+    return told.select(*own, F.when(F.col("error").isNull(), F.col("_list")).alias("entries"), "error")
 
 
 def _attribute_reason(key: Column, value: Column) -> Column:
@@ -75,6 +84,9 @@ def canonical_attributes(attributes: Column) -> Column:
     return F.concat(F.lit("{"), F.coalesce(F.array_join(parts, ","), F.lit("")), F.lit("}"))
 
 
+_FIELDS = ("timestamp", "level", "service", "message", "attributes")
+
+
 def validate(entries: DataFrame, now: datetime, column: str = "entry") -> DataFrame:
     """entries plus reason (of the first rule that fails, or null), ts, level_code, service, message, attributes.
 
@@ -84,18 +96,21 @@ def validate(entries: DataFrame, now: datetime, column: str = "entry") -> DataFr
     now = now if now.tzinfo else now.replace(tzinfo=UTC)
     latest = int(now.timestamp() * 1_000_000) + MAX_FUTURE_US
     e = F.col(column)
-    raw = {name: F.try_variant_get(e, f"$.{name}", "variant") for name in ("timestamp", "level", "service", "message", "attributes")}
-    kind = {name: F.coalesce(_kind(v), F.lit("VOID")) for name, v in raw.items()}
-    text = {name: F.try_variant_get(e, f"$.{name}", "string") for name in raw}
-    ts = parse_ts(text["timestamp"])
-    attributes = F.try_variant_get(e, "$.attributes", "map<string,variant>")
-    reasons = F.filter(F.transform(F.map_entries(attributes), lambda x: _attribute_reason(x["key"], x["value"])), lambda r: r.isNotNull())
+    own = [f"`{c}`" for c in entries.columns]
+    # each entry is taken apart once, then its fields are
+    parts = once(entries, _whole=_kind(e), **{f"_{name}": F.try_variant_get(e, f"$.{name}", "variant") for name in _FIELDS})
+    kinds = {f"_k_{name}": F.coalesce(_kind(F.col(f"_{name}")), F.lit("VOID")) for name in _FIELDS}
+    texts = {f"_t_{name}": F.try_variant_get(F.col(f"_{name}"), "$", "string") for name in _FIELDS[:4]}
+    fields = once(parts, **kinds, **texts, _map=F.try_variant_get(F.col("_attributes"), "$", "map<string,variant>"))
+    reasons = F.filter(F.transform(F.map_entries("_map"), lambda x: _attribute_reason(x["key"], x["value"])), lambda r: r.isNotNull())
+    read = once(fields, _ts=parse_ts(F.col("_t_timestamp")), _reasons=F.when(F.size("_map") <= MAX_ATTRIBUTES, reasons))
+    kind, text, ts = {n: F.col(f"_k_{n}") for n in _FIELDS}, {n: F.col(f"_t_{n}") for n in _FIELDS[:4]}, F.col("_ts")
 
     def plain(name: str, most: int) -> list[tuple[Column, Column | str]]:
         return [(kind[name] == "VOID", f"{name} is required"), ((kind[name] != "STRING") | (text[name] == ""), f"{name} must be a non-empty string"), (F.length(text[name]) > most, f"{name} exceeds {most} characters")]
 
     rules: list[tuple[Column, Column | str]] = [
-        (F.coalesce(_kind(e), F.lit("VOID")) != "OBJECT", "entry must be a JSON object"),
+        (F.coalesce("_whole", F.lit("VOID")) != "OBJECT", "entry must be a JSON object"),
         (kind["timestamp"] == "VOID", "timestamp is required"),
         (kind["timestamp"] != "STRING", "timestamp must be an ISO 8601 string"),
         (ts.isNull(), F.concat(F.lit("invalid timestamp: "), _quoted(text["timestamp"]), F.lit(" is not a valid ISO 8601 instant"))),
@@ -106,13 +121,14 @@ def validate(entries: DataFrame, now: datetime, column: str = "entry") -> DataFr
         *plain("service", MAX_SERVICE),
         *plain("message", MAX_MESSAGE),
         ((kind["attributes"] != "VOID") & (kind["attributes"] != "OBJECT"), "attributes must be a flat object"),
-        (F.size(attributes) > MAX_ATTRIBUTES, f"attributes exceeds {MAX_ATTRIBUTES} keys"),
-        (F.size(reasons) > 0, F.get(reasons, F.lit(0))),
+        (F.size("_map") > MAX_ATTRIBUTES, f"attributes exceeds {MAX_ATTRIBUTES} keys"),
+        (F.size("_reasons") > 0, F.get("_reasons", F.lit(0))),
     ]
     reason = F.lit(None).cast("string")
     for condition, why in reversed(rules):
         reason = F.when(condition, why).otherwise(reason)
-    return entries.withColumns({"reason": reason, "ts": ts, "level_code": level_code(text["level"]), "service": text["service"], "message": text["message"], "attributes": canonical_attributes(attributes)})
+    # a scalar entry has no fields, a nested attribute no canonical text
+    return read.select(*own, reason.alias("reason"), ts.alias("ts"), level_code(text["level"]).alias("level_code"), text["service"].alias("service"), text["message"].alias("message"), canonical_attributes(F.col("_map")).alias("attributes"))
 
 
 def report(results: list[dict]) -> tuple[int, dict]:
@@ -120,7 +136,3 @@ def report(results: list[dict]) -> tuple[int, dict]:
     rejected = sorted(({"index": r["index"], "reason": r["reason"]} for r in results if r["reason"]), key=lambda r: r["index"])
     accepted = len(results) - len(rejected)
     return (200 if accepted else 400), {"accepted": accepted, "rejected": rejected}
-
-
-def json_body(entries: list) -> str:
-    return json.dumps({"logs": entries})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import level_code, level_name
 from ..functions.timeparse import format_bucket, format_ms, parse_ts, to_us
-from ..operators import aggregate, filters, logs, retention, services, stats, validate
+from ..operators import aggregate, auth, filters, logs, retention, rollup, services, stats, validate
 from ..operators.cursor import Cursor
-from ..sources import ingest
+from ..sources import generate, ingest
 from .fixtures import DICTIONARY_SQL, LOGS_SQL, dictionary, logs_view
 
 NOW = datetime(2024, 1, 30, 12, tzinfo=UTC)
@@ -72,13 +74,21 @@ _filtered("filter_empty_range", {"since": RANGE["since"], "until": RANGE["since"
 _filtered("filter_service", {"service": "svc-3"}, "service = 'svc-3'")
 _filtered("filter_level", {"level": "warn"}, "level_code = 2")
 _filtered("filter_attr", {"attr.k": "87"}, "json_extract_string(attributes, '$.k') = '87'")
-_filtered("filter_attr_conjunction", [("attr.k", "87"), ("attr.k", "88")], "false")
+_filtered("filter_attr_contradiction", [("attr.k", "87"), ("attr.k", "88")], "false")
 _filtered("filter_attr_missing", {"attr.no.such'key": "1"}, "false")
 _filtered("filter_q", {"q": "CLICK BY user 1"}, "message ilike '%CLICK BY user 1%'")
-_filtered("filter_all", RANGE | {"service": "svc-1", "level": "info", "attr.k": "7", "q": "view"}, f"{RANGE_SQL} and service = 'svc-1' and level_code = 1 and json_extract_string(attributes, '$.k') = '7' and message ilike '%view%'")
+_filtered("filter_all", RANGE | {"service": "svc-4", "level": "info", "attr.k": "61", "q": "view"}, f"{RANGE_SQL} and service = 'svc-4' and level_code = 1 and json_extract_string(attributes, '$.k') = '61' and message ilike '%view%'")
 _filtered("unknown_service_empty", {"service": "no-such"}, "service = 'no-such'")
 
 
+@query(f"select {_ROW_SQL.replace('attributes', 'two as attributes')} from (select *, replace(attributes, '}}', ', \"a.b\": \"' || cast(id % 3 as varchar) || '\"}}') as two from {LOGS_SQL}) l where id % 3 = 1 and json_extract_string(attributes, '$.k') = '87'")
+def filter_attr_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two attributes of each log, a key with a dot among them; both have to match, as text."""
+    two = F.regexp_replace("attributes", r"\}$", "").alias("x")
+    rows = logs_view(spark, sf_dir).withColumn("attributes", F.concat(two, F.lit(', "a.b": "'), (F.col("id") % 3).cast("string"), F.lit('"}')))
+    return filters.LogFilters.parse({"attr.k": "87", "attr.a.b": "1"}).apply(rows).select(*_ROW)
+
+
 @query(r"select doc_id, text from documents where text ilike '%\%%' escape '\'")
 def filter_q_literal_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The literal substring filter over documents, as q matches a message."""
@@ -129,7 +139,8 @@ def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select id, service, service_id from {LOGS_SQL} join {DICTIONARY_SQL} on name = service")
 def dictionary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return services.with_ids(logs_view(spark, sf_dir).select("id", "service"), dictionary(spark)).select("id", "service", "service_id")
+    registered = services.of_services(logs_view(spark, sf_dir).select("id", "service"), dictionary(spark))
+    return services.with_ids(registered, dictionary(spark)).select("id", "service", "service_id")
 
 
 @query(f"select distinct service from {LOGS_SQL} where not exists (select 1 from {DICTIONARY_SQL} where name = service)")
@@ -194,7 +205,17 @@ def ring_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select time_bucket(interval '1 minute', ts, timestamp '1970-01-01') as bucket, service, level_code, count(*) as n from {LOGS_SQL} group by all")
 def rollup_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.rollup(logs_view(spark, sf_dir))
+    return rollup.rollup(logs_view(spark, sf_dir))
+
+
+_CLOSED = datetime(2024, 1, 20, 12, 34, tzinfo=UTC)
+
+
+@query(_counts_sql("1 hour", "service"))
+def rollup_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts, from the rollup up to a minute amid an hour and from raw rows after it."""
+    v = logs_view(spark, sf_dir)
+    return rollup.counts(rollup.closed(v, _CLOSED), v, _CLOSED, "1h", "service")
 
 
 @query(f"select {_ROW_SQL} from {LOGS_SQL} where cast(ts as date) >= date '2024-01-23'")
@@ -223,11 +244,16 @@ def level_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_view(spark, sf_dir).select("id", level_name(F.col("level_code")).alias("level")).withColumn("code", level_code(F.col("level")))
 
 
+def _entries(v: DataFrame) -> DataFrame:
+    """v with the entry of each log: every fifth level is wrong, every seventh message empty."""
+    return v.withColumn("entry", F.struct(format_ms(F.col("ts")).alias("timestamp"), F.when(F.col("id") % 5 == 0, "fatal").otherwise(level_name(F.col("level_code"))).alias("level"), "service", F.when(F.col("id") % 7 == 0, "").otherwise(F.col("message")).alias("message"), F.from_json("attributes", "map<string,int>").alias("attributes")))
+
+
 def _wire(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A body for each log: every fifth level is wrong, every seventh message empty."""
-    v = logs_view(spark, sf_dir)
-    entry = F.struct(format_ms(F.col("ts")).alias("timestamp"), F.when(F.col("id") % 5 == 0, "fatal").otherwise(level_name(F.col("level_code"))).alias("level"), "service", F.when(F.col("id") % 7 == 0, "").otherwise(F.col("message")).alias("message"), F.from_json("attributes", "map<string,int>").alias("attributes"))
-    return v.select("id", F.to_json(F.struct(F.array(entry).alias("logs"))).alias("value"))
+    """A body for each log."""
+    v = _entries(logs_view(spark, sf_dir))
+    # bodies come from many clients: spread them as if they had
+    return v.select("id", F.to_json(F.struct(F.array("entry").alias("logs"))).alias("value")).repartition(spark.sparkContext.defaultParallelism)
 
 
 @query(f"select id, case when id % 5 = 0 then 'invalid level: ''fatal''' when id % 7 = 0 then 'message must be a non-empty string' end as reason, case when id % 5 <> 0 then level_code else -1 end as level_code, service, replace(attributes, ' ', '') as attributes from {LOGS_SQL}")
@@ -241,6 +267,60 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder where driver and executors both reach it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='logmill-')}"
+    return f"{root.rstrip('/')}/logmill-{uuid.uuid4().hex}"
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """A table of all logs but those without a message, ingested in three batches of several bodies."""
+    path = _folder(spark)
+    rows = _entries(logs_view(spark, sf_dir)).select("id", "entry")
+    bodies = rows.groupBy((F.col("id") % 3).alias("batch"), F.floor(F.col("id") / 400).alias("b")).agg(F.to_json(F.struct(F.collect_list("entry").alias("logs"))).alias("value"))
+    bodies = bodies.select("batch", F.concat_ws("-", "batch", "b").alias("path"), "value")
+    for batch in range(3):
+        ingest.write(spark, bodies.where(F.col("batch") == batch).select("path", "value"), path, f"{path}-rejected", f"b{batch}", LATER)
+    return path
+
+
+@query(f"select count(*) as n, count(distinct ids.i) as ids, true as in_range, count(distinct cast(ts as date)) as days from {LOGS_SQL}, (select row_number() over () as i, event_id from events) ids where ids.event_id = logs.id and logs.id % 7 <> 0 and logs.id % 5 <> 0")
+def ingest_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids over several batches, bodies and partitions: each is there once, and none is above the number of entries."""
+    rows = ingest.read_logs(spark, _ingested(spark, sf_dir))
+    total = logs_view(spark, sf_dir).agg(F.count("*").alias("total"))
+    return rows.crossJoin(F.broadcast(total)).agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.bool_and(F.col("id").between(1, F.col("total"))).alias("in_range"), F.count_distinct("day").alias("days"))
+
+
+@query(f"select cast(ts as date) as day, count(*) as n from {LOGS_SQL} where id % 7 <> 0 and id % 5 <> 0 and cast(ts as date) >= date '2024-01-23' group by 1")
+def retention_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by day of a table whose old days a sweep has dropped."""
+    path = _ingested(spark, sf_dir)
+    retention.retain(spark, path, 7, NOW)
+    return ingest.read_logs(spark, path).groupBy("day").agg(F.count("*").alias("n"))
+
+
+@query("select * from (values (1, 'a', 200), (2, 'b', 403), (3, 'none', 401), (4, null, 401), (5, 'c', 200)) t(id, key, status)")
+def auth_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that need the scope query, with keys of several scopes; c was registered twice."""
+    table = auth.register(auth.new_keys(spark, [("a", "one", None), ("b", "two", ["ingest"]), ("c", "three", ["admin"])]), auth.new_keys(spark, [("c", "three", ["admin", "query"])]))
+    requests = spark.createDataFrame([(1, "a"), (2, "b"), (3, "none"), (4, None), (5, "c")], "id int, key string")
+    return auth.allowed(requests, table, "query").select("id", "key", "status")
+
+
+@query("select 1000000 as n, 1000000 as ids, 30 as days, 8 as services, 4 as levels")
+def generated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A million generated logs over 30 days."""
+    rows = generate.generate(spark, 1_000_000, datetime(2024, 1, 1, tzinfo=UTC), 30)
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(F.to_date("ts")).alias("days"), F.count_distinct("service").alias("services"), F.count_distinct("level_code").alias("levels"))
+
+
+@query(f"select id, '{{\"id\":\"' || cast(id as varchar) || '\",\"level\":\"' || {_LEVEL_SQL} || '\",\"attributes\":' || replace(attributes, ' ', '') || '}}' as json from {LOGS_SQL}")
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned records as JSON text, attributes as an object."""
+    return logs.json_rows(logs_view(spark, sf_dir)).select("id", F.regexp_replace("json", '"timestamp":"[^"]*",|"service":"[^"]*",|"message":"[^"]*",', "").alias("json"))
+
+
 @query(f"select id, sha256(service) as hash from {LOGS_SQL}")
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_view(spark, sf_dir).select("id", F.sha2("service", 256).alias("hash"))

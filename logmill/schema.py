@@ -32,6 +32,9 @@ LOGS = T.StructType([
     T.StructField("day", T.DateType(), False),
 ])
 
+#: What was not accepted: entries, and whole bodies (index null) with their text.
+REJECTED = T.StructType([T.StructField("path", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("reason", T.StringType()), T.StructField("body", T.StringType())])
+
 
 @dataclass
 class RequestError(Exception):
