@@ -29,26 +29,18 @@ def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     """
     by = by or []
     held = rows.select(*by, F.col(value).alias("_v"))
-    edges = {n: [max(0.0, f - 2 / ACCURACY), min(1.0, f + 2 / ACCURACY)] for n, f in FRACTIONS.items()}
-    flat = [e for pair in edges.values() for e in pair]
-    sketch = F.percentile_approx("_v", F.array(*map(F.lit, flat)), ACCURACY)
-    total = held.groupBy(*by).agg(F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.max("_v").alias("max"), sketch.alias("_q"))
+    edges = [e for f in FRACTIONS.values() for e in (max(0.0, f - 2 / ACCURACY), min(1.0, f + 2 / ACCURACY))]
+    total = held.groupBy(*by).agg(F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.max("_v").alias("max"), F.percentile_approx("_v", F.array(*map(F.lit, edges)), ACCURACY).alias("_q"))
+    same = lambda other: [F.col(b).eqNullSafe(F.col(f"_{other}_{b}")) for b in by] or [F.lit(True)]
     bounds = total.select(*(F.col(b).alias(f"_b_{b}") for b in by), F.col("count").alias("_n"), "_q")
-    same = [F.col(b).eqNullSafe(F.col(f"_b_{b}")) for b in by] or [F.lit(True)]
-    joined = held.where("_v is not null").join(bounds, same)
-    low, high = (lambda k: F.get("_q", F.lit(2 * k))), (lambda k: F.get("_q", F.lit(2 * k + 1)))
-    below = joined.groupBy(*by).agg(*(F.count_if(F.col("_v") < low(k)).alias(f"_below{k}") for k in range(len(edges))))
-    near = None
-    for k, (name, f) in enumerate(FRACTIONS.items()):
-        part = joined.where((F.col("_v") >= low(k)) & (F.col("_v") <= high(k))).select(*by, "_v", F.lit(name).alias("_p"), F.ceil(F.lit(f) * F.col("_n")).alias("_rank"), F.lit(k).alias("_k"))
-        near = part if near is None else near.union(part)
-    counted = near.groupBy(*by, "_p", "_k", "_rank", "_v").agg(F.count("*").alias("_c"))
-    start = below.select(*(F.col(b).alias(f"_s_{b}") for b in by), F.array(*(F.col(f"_below{k}") for k in range(len(edges)))).alias("_below"))
-    counted = counted.join(F.broadcast(start) if not by else start, [F.col(b).eqNullSafe(F.col(f"_s_{b}")) for b in by] or [F.lit(True)])
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_p").orderBy("_v")) + F.get("_below", F.col("_k"))
-    found = counted.withColumn("_upto", upto).where("_upto >= _rank").groupBy(*(F.col(b).alias(f"_f_{b}") for b in by)).pivot("_p", list(FRACTIONS)).agg(F.min("_v"))
-    out = total.join(found, [F.col(b).eqNullSafe(F.col(f"_f_{b}")) for b in by] or [F.lit(True)], "left")
-    return out.select(*by, "count", "mean", *FRACTIONS, "max")
+    joined = held.where("_v is not null").join(bounds, same("b"))
+    # each value once for each percentile: null if it is below the two, gone if it is above them
+    of = [F.struct(F.lit(k).alias("k"), F.lit(f).alias("f"), F.when(F.col("_v") >= F.get("_q", F.lit(2 * k)), F.col("_v")).alias("v"), (F.col("_v") <= F.get("_q", F.lit(2 * k + 1))).alias("near")) for k, f in enumerate(FRACTIONS.values())]
+    counted = joined.select(*by, "_n", F.explode(F.array(*of)).alias("_x")).where("_x.near").groupBy(*by, F.col("_x.k").alias("_k"), F.ceil(F.col("_x.f") * F.col("_n")).alias("_rank"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_k").orderBy(F.asc_nulls_first("_v")))
+    found = counted.withColumn("_upto", upto).where("_v is not null and _upto >= _rank")
+    found = found.groupBy(*(F.col(b).alias(f"_f_{b}") for b in by)).agg(*(F.min(F.when(F.col("_k") == k, F.col("_v"))).alias(name) for k, name in enumerate(FRACTIONS)))
+    return total.join(found, same("f"), "left").select(*by, "count", "mean", *FRACTIONS, "max")
 
 
 def trailing(rows: DataFrame, value: str, order: str, size: int = RING) -> DataFrame:

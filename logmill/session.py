@@ -15,7 +15,7 @@ Result = TypeVar("Result")
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
-    """A session in UTC with adaptive execution; settings with _ for . come on top.
+    """A session in UTC with adaptive execution; settings, with _ for . or as they are, come on top.
 
     Jobs are scheduled fairly, so that queries don't wait for ingest.
     """
@@ -25,7 +25,7 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     for key, value in {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.scheduler.mode": "FAIR"}.items():
         builder = builder.config(key, value)
     for key, value in settings.items():
-        builder = builder.config(key.replace("_", "."), value)
+        builder = builder.config(key if "." in key else key.replace("_", "."), value)
     return builder.getOrCreate()
 
 
