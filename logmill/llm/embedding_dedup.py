@@ -260,6 +260,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(common.read(spark, sf_dir, "embeddings"))
 
 
+def query_stretched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as doubles, and each once more with its first four components tripled: data with links at the threshold."""
+    e = common.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return near_vectors(e.unionByName(e.select((F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("embedding", lambda x, i: F.when(i < 4, x * 3).otherwise(x)).alias("embedding"))))
+
+
 ORACLE = f"""
 with recursive v as (
   select vec_id, cast(embedding as double[]) as e from embeddings
@@ -273,3 +279,8 @@ comp as (select a as vec_id, min(b) as component_id from reach group by a),
 deg as (select a as vec_id, count(*) as n_links from pairs group by a)
 select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
 from embeddings join comp using (vec_id) left join deg using (vec_id)"""
+
+ORACLE_STRETCHED = ORACLE.replace("embeddings", "both_").replace("with recursive v as", """with recursive both_ as (
+  select vec_id, cast(embedding as double[]) as embedding from embeddings union all
+  select vec_id + 10000000, list_concat(list_transform(cast(embedding as double[])[1:4], lambda x: x * 3), cast(embedding as double[])[5:]) from embeddings),
+v as""")

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_html_extraction": html_extraction.query,
     "op3_embedding_dedup": embedding_dedup.query,
+    "embedding_dedup_stretched": embedding_dedup.query_stretched,
     "op4_language_id": language_id.query,
     "op5_lm_scoring": lm_scoring.query,
     "op6_line_dedup": line_dedup.query,
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_embedding_dedup": embedding_dedup.ORACLE,
+    "embedding_dedup_stretched": embedding_dedup.ORACLE_STRETCHED,
     "op6_line_dedup": line_dedup.ORACLE,
     "op8_ngram_join": ngram_join.ORACLE,
     "op9_decontamination": decontamination.ORACLE,

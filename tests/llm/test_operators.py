@@ -155,6 +155,27 @@ def test_ngram_join(spark, docs):
     assert 1 - (1 - 0.8**5) ** ngram_join.banding()[0] >= ngram_join.RECALL
 
 
+def test_ngram_join_recall_at_the_threshold(spark):
+    """Pairs planted at a similarity from 0.8 to 0.82 are linked, pairs just below it are not."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for i in range(400):
+        n = rng.randrange(60, 260)
+        a = [f"w{i}x{k}" for k in range(n)]
+        # k words replaced at the end change k of n - 4 shingles: similarity (m - k) / (m + k)
+        m = n - 4
+        k = m // 9 if i % 4 else m // 9 + 1
+        b = [*a[: n - k], *(f"v{i}x{x}" for x in range(k))]
+        s, t = ({tuple(x[j : j + 5]) for j in range(m)} for x in (a, b))
+        want.append(len(s & t) >= 0.8 * len(s | t))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert 250 < sum(want) < 350
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(400))
+    assert not any(got[2 * i] for i in range(400) if not want[i])
+    assert sum(got[2 * i] for i in range(400) if want[i]) >= 0.999 * sum(want) - 1
+
+
 def test_language_id(spark):
     words = {"aa": ["lorem", "ipsum", "dolor"], "bb": ["kwik", "zwart", "jurk"]}
     rows = [(i, " ".join(words["ab"[i % 2] * 2][(i + k) % 3] for k in range(8)), "ab"[i % 2] * 2, "c") for i in range(200)]
