@@ -198,6 +198,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     # candidates: members of buckets with others, by signature or, where a bucket is large, by one centre
     placed = classes.select("key", F.posexplode("bands").alias("band", "hash"))
     buckets = placed.groupBy("band", "hash").agg(F.count("*").alias("members"), F.min("key").alias("centre")).where("members > 1")
+    buckets = common.written(buckets, "buckets")  # apart from the join, so that adaptive execution can split a large bucket
     met = common.written(placed.join(buckets, ["band", "hash"]), "met")
     stars = met.where((F.col("members") > BUCKET) & (F.col("key") != F.col("centre"))).select(F.col("key").alias("a"), F.col("centre").alias("b"))
     small = met.where(F.col("members") <= BUCKET).select("band", "hash", "key").join(classes.select("key", "sig"), "key")
