@@ -252,6 +252,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = THRESHOLD, trees: int
     heads = group_heads(member, classes.select(F.col("key").alias("node"), F.col("vec_id").alias("head")), F.min("head"))
     own = classes.select("key", "vec_id", "copies").join(links, "key", "left").join(heads.withColumnRenamed("node", "key"), "key", "left")
     own = own.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("head")).alias("component_id"))
+    own = common.written(own, "members")  # apart from the join with the rows, so that a vector of very many copies can be split
     out = rows.select("vec_id", "key").join(own, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -222,6 +222,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     own = classes.select("key", "doc_id", "th", "copies").join(links, "key", "left").join(heads, "key", "left")
     alone = F.col("head").isNull()
     own = own.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("doc_id").alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("group_id"), F.when(alone, F.col("th")).otherwise(F.col("head.th")).alias("head_th"))
+    own = common.written(own, "members")  # apart from the join with the rows, so that a class of very many copies can be split
     out = signed.select("doc_id", "th", "key").join(own, "key", "left")
     lone = F.col("key").isNull()
     out = out.select("doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (lone | (F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("head_th")))).alias("kept"), (~lone).alias("linked"))
