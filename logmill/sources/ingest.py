@@ -21,14 +21,19 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
 
 def entries(bodies: DataFrame) -> DataFrame:
     """index and entry of every body that is accepted as a whole, with the body's other columns."""
-    return envelopes(bodies).where("error is null").select(*bodies.drop("value").columns, F.posexplode("entries").alias("index", "entry"))
+    return unnested(envelopes(bodies).drop("value"))
 
 
-def offsets(bodies: DataFrame) -> DataFrame:
-    """path, and how many entries bodies of a lesser path have, of each body (path, value): a row a body."""
-    sizes = envelopes(bodies).select("path", F.coalesce(F.size("entries"), F.lit(0)).alias("size"))
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.groupBy("path").agg(F.sum("size").alias("size")).select("path", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"), "size")
+def unnested(opened: DataFrame) -> DataFrame:
+    """index and entry of bodies that envelopes() has opened, with their other columns."""
+    return opened.where("error is null").select(*opened.drop("entries", "error").columns, F.posexplode("entries").alias("index", "entry"))
+
+
+def offsets(opened: DataFrame) -> DataFrame:
+    """path, and how many entries bodies of a lesser path have, of each body that envelopes() has opened; and its own number, size."""
+    sizes = opened.groupBy("path").agg(F.sum(F.coalesce(F.size("entries"), F.lit(0))).alias("size"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a short row a body
+    return sizes.select("path", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"), "size")
 
 
 def to_logs(valid: DataFrame, first_id: int = 0) -> DataFrame:
@@ -71,16 +76,10 @@ def compact(spark: SparkSession, path: str, day: str) -> int:
     return len(old)
 
 
-def split(bodies: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
-    """The entries of bodies (path, value) with reason and columns, and the bodies that are refused as a whole in the form of rejections."""
-    checked = validate(entries(bodies).join(offsets(bodies).select("path", "before"), "path"), now).drop("entry")
-    refused = envelopes(bodies).where("error is not null").select("path", F.lit(None).cast("int").alias("index"), F.col("error").alias("reason"), F.col("value").alias("body"))
-    return checked, refused
-
-
-def rejections(checked: DataFrame, refused: DataFrame) -> DataFrame:
+def rejections(checked: DataFrame, opened: DataFrame) -> DataFrame:
     """What was not accepted: path, index (null for a whole body), reason, body (null for an entry)."""
     one = checked.where("reason is not null").select("path", "index", "reason", F.lit(None).cast("string").alias("body"))
+    refused = opened.where("error is not null").select("path", F.lit(None).cast("int").alias("index"), F.col("error").alias("reason"), F.col("value").alias("body"))
     return one.unionByName(refused).select(*(F.col(f.name).cast(f.dataType) for f in REJECTED))
 
 
@@ -111,12 +110,14 @@ def ingest_folder(spark: SparkSession, source: str, path: str, rejected: str, no
 
 def write(spark: SparkSession, bodies: DataFrame, path: str, rejected: str, batch: str, now: datetime | None = None) -> None:
     """Write one batch of bodies (path, value); written again, it has the same ids and clock and replaces its own files."""
-    total = offsets(bodies).agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
+    opened = envelopes(bodies.select("path", "value")).cache()  # each body is parsed once
+    before = offsets(opened).cache()
+    total = before.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     first, now = sequence.once(spark, path, batch, total, now)
-    checked, refused = split(bodies, now)
-    checked = checked.cache()
+    checked = validate(unnested(opened.drop("value")).join(before.select("path", "before"), "path"), now).drop("entry").cache()
     try:
         append(to_logs(checked.where("reason is null"), first), path, batch)
-        rejections(checked, refused).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejected)
+        rejections(checked, opened).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejected)
     finally:
-        checked.unpersist()
+        for df in (checked, before, opened):
+            df.unpersist()

@@ -20,6 +20,7 @@ from logmill.operators.filters import LogFilters, escape_like
 from logmill.operators.logs import page
 from logmill.operators.retention import Janitor, retain, survivors
 from logmill.schema import RequestError
+from logmill.service import Service
 from logmill.session import within
 from logmill.sources import generate, sequence
 from logmill.sources.ingest import compact, ingest, ingest_folder, read_bodies, read_logs, write
@@ -320,3 +321,23 @@ def test_generated_logs(spark):
     assert all(abs(s - w / 100) < 0.03 for s, w in zip(shares, generate.SHARES, strict=True))
     (one,) = generate.bodies(a.where("id <= 5"), 5).collect()
     assert len(json.loads(one.value)["logs"]) == 5
+
+
+def test_service(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(body(entry(), entry(timestamp="1999-01-01T00:00Z"), entry(level="x")))
+    config = Config(**{name: str(tmp_path / name) for name in ("logs_path", "rejected_path", "checkpoint_path")}, batch_seconds=1, auth_enabled=True, retention_days=3650, log_level="error")
+    s = Service.start(spark, str(tmp_path / "in"), config)
+    try:
+        s.query.processAllAvailable()
+        keys = auth.new_keys(spark, [("k", "one", None)])
+        assert s.healthy() and len(s.page({}, keys, {"X-API-Key": "k"})["logs"]) == 2
+        assert s.janitor.run()["dropped"] == ["1999-01-01"]
+        got = s.buckets({"since": "2026-07-20T00:00:00Z", "until": "2026-07-21T00:00:00Z", "bucket": "1d"}, keys, {"Authorization": "Bearer k"})
+        assert got == {"buckets": [{"start": "2026-07-20T00:00:00Z", "group": None, "count": 1}]}
+        with pytest.raises(RequestError) as e:
+            s.page({}, keys, {})
+        assert e.value.status == 401
+    finally:
+        assert s.stop(30)
+    assert not s.healthy()
