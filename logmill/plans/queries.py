@@ -308,7 +308,7 @@ def auth_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auth.allowed(requests, table, "query").select("id", "key", "status")
 
 
-@query("select 1000000 as n, 1000000 as ids, 30 as days, 8 as services, 4 as levels")
+@query("select 1000000::bigint as n, 1000000::bigint as ids, 30::bigint as days, 8::bigint as services, 4::bigint as levels")
 def generated_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A million generated logs over 30 days."""
     rows = generate.generate(spark, 1_000_000, datetime(2024, 1, 1, tzinfo=UTC), 30)
