@@ -15,19 +15,21 @@ whose class, id or role is made of the words of a short list (adverts, comments,
 ...), as their text varies from page to page just as an article's does.
 
 Everything here takes time linear in the page but for the alignment of siblings,
-which is quadratic up to PAIRS pairs and n log n beyond.
+which is exact however many there are: linear in those alike at both ends and
+quadratic, in vectors, in what lies between.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
 import sys
-from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,8 +44,8 @@ LEAST_PAGES = 2
 CONSTANT = 0.9
 #: Distinct pages that a slot of several like siblings is on, for one of them to be template by itself.
 LEAST_RUN_PAGES = 5
-#: Pairs of siblings up to which all are weighed against each other.
-PAIRS = 4096
+#: Weights that are remembered in matching two trees, of nodes and in rows of siblings; forgotten ones are found anew.
+REMEMBERED, REMEMBERED_IN_ROWS = 200_000, 8_000_000
 #: Bytes of wrappers that are broadcast at most.
 WRAPPER_BYTES = 32 << 20
 
@@ -276,7 +278,6 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
     """
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 8 * min(len(a.keys), len(b.keys))))
     weights: dict[tuple[int, int], int] = {}
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
     def weight(i: int, j: int) -> int:
         """Nodes that match if a's i and b's j do."""
@@ -286,28 +287,50 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
         if at[0] == at[1]:
             return a.size[i]
         if at not in weights:
-            pairs, total = siblings(a.children[i], b.children[j])
-            weights[at] = 1 + total
-            # as places among the siblings, which are the same wherever the shapes are
-            chosen[at] = pairs
+            total = 1 + siblings(a.children[i], b.children[j], False)[0]
+            if len(weights) >= REMEMBERED:
+                weights.clear()
+            weights[at] = total
         return weights[at]
 
-    def siblings(xs: list[int], ys: list[int]) -> tuple[list[tuple[int, int]], int]:
-        """The best pairs among two lists of siblings, by their places, and the nodes that they match."""
+    def siblings(xs: list[int], ys: list[int], traced: bool) -> tuple[int, list[tuple[int, int]]]:
+        """The nodes that two lists of siblings match at most and, if traced, the siblings that do so."""
         first, same = 0, min(len(xs), len(ys))
         while first < same and a.shape[xs[first]] == b.shape[ys[first]]:
             first += 1
         last = 0
         while last < same - first and a.shape[xs[-1 - last]] == b.shape[ys[-1 - last]]:
             last += 1
-        pairs = [(k, k) for k in range(first)] + [(len(xs) - k, len(ys) - k) for k in range(last, 0, -1)]
-        total = sum(a.size[xs[x]] for x, _ in pairs)
-        m, n = len(xs) - first - last, len(ys) - first - last
-        if not m or not n:
-            return pairs, total
-        middle = _best(m, n, lambda x, y: weight(xs[first + x], ys[first + y])) if m * n <= PAIRS else _increasing([a.keys[x] for x in xs[first : first + m]], [b.keys[y] for y in ys[first : first + n]])
-        middle = [(first + x, first + y) for x, y in middle]
-        return sorted(pairs + middle), total + sum(weight(xs[x], ys[y]) for x, y in middle)
+        pairs = [*zip(xs[:first], ys[:first], strict=True), *zip(xs[len(xs) - last :], ys[len(ys) - last :], strict=True)]
+        total = sum(a.size[x] for x, _ in pairs)
+        xs, ys = xs[first : len(xs) - last], ys[first : len(ys) - last]
+        common_keys = {a.keys[x] for x in xs} & {b.keys[y] for y in ys}
+        if not common_keys:
+            return total, pairs
+        xs, ys = [x for x in xs if a.keys[x] in common_keys], [y for y in ys if b.keys[y] in common_keys]
+        if len(xs) == len(ys) == 1:
+            return total + weight(xs[0], ys[0]), [*pairs, (xs[0], ys[0])]
+        places: dict[str, dict[int, list[int]]] = {}  # of ys, by key and shape
+        for y, j in enumerate(ys):
+            places.setdefault(b.keys[j], {}).setdefault(b.shape[j], []).append(y)
+        rows: dict[int, np.ndarray] = {}  # by shape
+
+        def row(x: int) -> np.ndarray:
+            """The weights of a sibling with all of ys."""
+            i = xs[x]
+            if a.shape[i] not in rows:
+                alike = places[a.keys[i]]
+                found = [weight(i, ys[at[0]]) for at in alike.values()]
+                if len(rows) * len(ys) >= REMEMBERED_IN_ROWS:
+                    rows.clear()
+                out = np.zeros(len(ys), np.int32)
+                for n, at in zip(found, alike.values(), strict=True):
+                    out[at] = n
+                rows[a.shape[i]] = out
+            return rows[a.shape[i]]
+
+        most, middle = _best(len(xs), len(ys), row, traced)
+        return total + most, pairs + [(xs[x], ys[y]) for x, y in middle]
 
     out: dict[int, int] = {}
     todo = [(0, 0)] if weight(0, 0) else []
@@ -317,49 +340,42 @@ def match(a: Tree, b: Tree) -> dict[int, int]:
         if a.shape[i] == b.shape[j]:
             out.update((i + k, j + k) for k in range(1, a.size[i]))
         else:
-            todo += [(a.children[i][x], b.children[j][y]) for x, y in chosen[a.shape[i], b.shape[j]]]
+            todo += siblings(a.children[i], b.children[j], True)[1]
     return out
 
 
-def _best(m: int, n: int, weight) -> list[tuple[int, int]]:
-    """The heaviest increasing pairs of m and n places."""
-    w = [[weight(x, y) for y in range(n)] for x in range(m)]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
+def _best(m: int, n: int, row: Callable[[int], np.ndarray], traced: bool) -> tuple[int, list[tuple[int, int]]]:
+    """The weight of the heaviest increasing pairs of m and n places and, if traced, the pairs; row has the weights of a place of the m.
+
+    Of the table over all pairs, about the root of m rows are held at a time.
+    """
+
+    def after(best: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(best)
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + weights), out=out[1:])
+        return out
+
+    step, held, best = math.isqrt(m) + 1, [], np.zeros(n + 1, np.int32)
     for x in range(m):
-        for y in range(n):
-            best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + w[x][y] if w[x][y] else 0)
+        if traced and x % step == 0:
+            held.append(best)
+        best = after(best, row(x))
     pairs, x, y = [], m, n
-    while x and y:
-        if best[x][y] == best[x - 1][y]:
-            x -= 1
-        elif best[x][y] == best[x][y - 1]:
-            y -= 1
-        else:
-            x, y = x - 1, y - 1
-            pairs.append((x, y))
-    return pairs[::-1]
-
-
-def _increasing(xs: list[str], ys: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places of equal keys, the k-th with the k-th of a key, as many as can be in order."""
-    where: dict[str, list[int]] = defaultdict(list)
-    for y, key in enumerate(ys):
-        where[key].append(y)
-    seen: Counter[str] = Counter()
-    tails, at, back, pairs = [], [], [], []
-    for x, key in enumerate(xs):
-        if seen[key] < len(where[key]):
-            y = where[key][seen[key]]
-            seen[key] += 1
-            k = bisect_left(tails, y)
-            tails[k : k + 1], at[k : k + 1] = [y], [len(pairs)]
-            back.append(at[k - 1] if k else -1)
-            pairs.append((x, y))
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = back[k]
-    return out[::-1]
+    while traced and x and y:
+        begin = (x - 1) // step * step
+        table = [held[begin // step]]
+        for k in range(begin, x):
+            table.append(after(table[-1], row(k)))
+        while x > begin and y:
+            here = table[x - begin]
+            if here[y] == table[x - begin - 1][y]:
+                x -= 1
+            elif here[y] == here[y - 1]:
+                y -= 1
+            else:
+                x, y = x - 1, y - 1
+                pairs.append((x, y))
+    return int(best[n]), pairs[::-1]
 
 
 def merged(w: Tree, page: Tree) -> Tree:

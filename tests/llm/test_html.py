@@ -97,6 +97,40 @@ def test_matching_equals_brute_force():
         assert len(hx.match(a, w)) == len(a.keys) and len(hx.match(b, w)) == len(b.keys) and len(w.keys) == len(b.keys) + len(a.keys) - len(to)
 
 
+def test_matching_of_many_siblings_is_exact(spark):
+    """Beyond any number of siblings as many nodes match as by the definition, and the text is the same."""
+
+    def two_levels(rows):
+        keys, parents = ["r"], [-1]
+        for key, below in rows:
+            at = len(keys)
+            keys += [key, *below]
+            parents += [0] + [at] * len(below)
+        return hx.Tree(keys, parents)
+
+    def definition(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x, (k, u) in enumerate(a):
+            for y, (q, v) in enumerate(b):
+                best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + (1 + (u == v != "") if k == q else 0))
+        return 1 + best[-1][-1]
+
+    r = random.Random(5)
+    for n in (20, 64, 65, 90, 300):
+        a, b = ([(r.choice("pqrs"), r.choice(["", "a", "b", "c"])) for _ in range(n)] for _ in range(2))
+        b[n // 2 :] = [*a[n // 2 : -1], ("z", "")]
+        to = hx.match(two_levels(a), two_levels(b))
+        assert len(to) == definition(a, b)
+        assert sorted(to.items()) == sorted(zip(sorted(to), sorted(to.values()), strict=True))
+    rows = []
+    for host, n in (("small", 30), ("large", 100)):  # sections of a kind: one more in front moves them all
+        body = "".join(f"<section><h2>Fixed {k}</h2><{'ul' if k % 2 else 'dl'}></{'ul' if k % 2 else 'dl'}></section>" for k in range(n))
+        rows += [(i, f"http://{host}/", (f"<section><h3>New {i}</h3></section>" if i % 3 == 0 else "") + body + f"<section><h4>Story {i}</h4></section><hr><h{2 + i % 2}>x{i}</h{2 + i % 2}>", "") for i in range(12)]
+    got = {(r.url, r.page_id): r.text for r in hx.extract(pages(spark, rows)).collect()}
+    for i in range(12):
+        assert got["http://small/", i] == got["http://large/", i] == (f"New {i}\n" if i % 3 == 0 else "") + f"Story {i}\nx{i}"
+
+
 HOSTILE = {
     "quotes": '<a "' * 250_000, "tags": "<a " * 300_000 + '"', "values": "<p a=" + '"' * 300_001, "less": "<" * 400_000, "spaces": "<a " + " " * 400_000 + '"',
     "siblings": "<div>x</div><p>y</p>" * 10_000, "deep": "<div>" * 20_000 + "deep", "unclosed": "<div>" * 20_000 + "</p></i>" * 20_000 + "x", "paragraphs": "<p><b>" * 40_000,
