@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -92,13 +93,23 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     """mapInArrow of a function of one batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = out = None
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None and out.num_rows:
                 yield out
+        del batch, out
+        give_back()
 
     return df.mapInArrow(each, schema)
 
 
+def give_back() -> None:
+    """Return this worker's freed memory to the system: allocators keep it, and reused workers would hold it through all later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys in a partition sorted by them, one at a time."""
     held: list[pa.Table] = []

@@ -50,6 +50,8 @@ CHUNK_BYTES = 8 << 20
 UNIGRAM_WEIGHT = 4.0
 #: Tokens of which a task counts n-grams before it passes the counts on.
 HELD = 3_000_000
+#: Of those, tokens whose bigrams are hashed at a time.
+SLICE = 1 << 18
 #: Bytes of text in which frequent first tokens are looked for, and how many are dealt by bigram; this sets where counts lie, not what they are.
 HOT_SAMPLE = 4 << 20
 HOT = 256
@@ -187,19 +189,36 @@ _COUNTS = "kind int, segment int, data binary, tokens long, known long, entries
 
 def _count(lay: Layout):
     def rows(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        t = np.concatenate([x for x, _ in parts])
-        vocabulary, rank = np.unique(np.append(t, _START), return_inverse=True)
+        """Counts of the parts, which are emptied."""
+        firsts = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
+        begin = np.concatenate([at[:-1] + a for (_, at), a in zip(parts, firsts, strict=True)])
+        t = np.concatenate([*(x for x, _ in parts), np.array([_START])])
+        parts.clear()
+        order = np.argsort(t)
+        t = t[order]
+        new = np.diff(t, prepend=~t[:1]) != 0
+        vocabulary = t[new]
+        del t
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order, new
         start, rank = rank[-1], rank[:-1]
         n = np.bincount(rank, minlength=len(vocabulary))
         before = np.empty_like(rank)
         before[1:] = rank[:-1]
-        firsts = np.cumsum([0, *(len(x) for x, _ in parts[:-1])])
-        before[np.concatenate([at[:-1] + a for (_, at), a in zip(parts, firsts, strict=True)])] = start
-        both = (before.astype(np.uint64) << np.uint64(40)) | tails(vocabulary[before], t)
+        before[begin] = start
+        both = np.empty(len(rank), np.uint64)
+        for a in range(0, len(both), SLICE):
+            x, y = before[a : a + SLICE], rank[a : a + SLICE]
+            both[a : a + SLICE] = (x.astype(np.uint64) << np.uint64(40)) | tails(vocabulary[x], vocabulary[y])
+        del before, rank
         both.sort()
         new = np.flatnonzero(np.diff(both, prepend=~both[:1]))
         c = np.diff(new, append=len(both))
-        h, tail = vocabulary[(both[new] >> np.uint64(40)).astype(np.int64)], both[new] & _TAIL
+        both = both[new]
+        del new
+        h, tail = vocabulary[(both >> np.uint64(40)).astype(np.int64)], both & _TAIL
+        del both
         segment = lay.of_bigrams(h, bigrams(h, tail))
         order = np.argsort(segment.astype(np.uint16), kind="stable")  # by segment, then by first token
         h, tail, c, segment = h[order], tail[order], c[order], segment[order]
@@ -218,9 +237,12 @@ def _count(lay: Layout):
                 held += len(parts[-1][0])
                 if held >= HELD:
                     yield rows(parts)
-                    parts, held = [], 0
+                    held = 0
+                    common.give_back()
+        batch = None
         if held:
             yield rows(parts)
+        common.give_back()
 
     return each
 
@@ -244,6 +266,7 @@ def _add(lay: Layout):
             out = [(1, _packed(known, n, q), int(n.sum()), int((n > 0).sum()), 0), (2, _packed(f[order] >> np.uint64(16), level[order]), 0, 0, int(level.sum())), (3, _packed(firsts[hot], mass[hot]), 0, 0, 0)]
             kind, data, total, distinct, entries = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array([own] * 3, pa.int32()), pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (total, distinct, entries))], names=[x.split()[0] for x in _COUNTS.split(", ")])
+        common.give_back()
 
     return each
 
@@ -408,6 +431,7 @@ def score_texts(docs: DataFrame, counts: Counts, *, model_bytes: int = MODEL_BYT
             bloom, table = shared.value
             for batch in batches:
                 yield from _scored(batch, table.find, bloom.levels, norm)
+            common.give_back()
 
         out = source.mapInArrow(each, kind)
     else:
@@ -445,6 +469,8 @@ def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float,
             rows = [(s, 1, _packed(one[a:b])) for s, a, b in _runs(lay.of_tokens(one))] + [(s, 2, _packed(two[a:b] >> np.uint64(16))) for s, a, b in _runs(segment)]
             at, kinds, data = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(kinds, pa.int32()), pa.array([table["chunk"][0].as_py()] * len(rows), pa.int64()), pa.array(data, pa.binary())], names=["segment", "kind", "chunk", "data"])
+            del table, one, two, segment, rows, at, kinds, data
+            common.give_back()
 
     def answer(batches):
         last, mine = None, None
@@ -469,6 +495,7 @@ def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float,
                     out.append((chunk, k, s, got))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "segment", "data"])
+        common.give_back()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         one, two, _ = _asked(left["text"], lay)
@@ -480,7 +507,11 @@ def _by_segment(texts: DataFrame, counts: Counts, bits: np.ndarray, norm: float,
         order = np.argsort(two)
         two, level = two[order], level[order]
         look_up = lambda _, f: level[np.searchsorted(two, f)]
-        return pa.Table.from_batches([x for batch in left.to_batches() for x in _scored(batch, table.find, look_up, norm)])
+        del right, data, order
+        common.give_back()
+        out = pa.Table.from_batches([x for batch in left.to_batches() for x in _scored(batch, table.find, look_up, norm)])
+        common.give_back()
+        return out
 
     asked = spread.sortWithinPartitions("chunk").mapInArrow(ask, "segment int, kind int, chunk long, data binary")
     own = counts.rows.where("kind = 1").select("segment", "kind", F.lit(-1).cast("long").alias("chunk"), "data")
