@@ -247,7 +247,7 @@ def release() -> None:
         _ENCODERS.clear()
         _TOKENIZERS.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        common.give_back()
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: int = 2, shards: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -272,16 +272,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, *, end_id: i
         name, attempt = f"{path}/shard-{shard:06d}.ids", f"{path}/.{shard:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(attempt) as out:
             w = ShardWriter(out, tokenizer(tokenizer_path).get_vocab_size(), block_ids)
-            batch = head
+            batch, head = head, None
             while batch is not None:
                 for a, b in wordhash.slices(batch.column("text")):
                     part = batch.slice(a, b - a)
                     for doc_id, got in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist()), strict=True):
                         w.add(doc_id, np.frombuffer(got + end, "<u4"))
+                batch = part = None
+                common.give_back()
                 batch = next(batches, None)
             w.close()
         fs.move(attempt, name)
-        pa.default_memory_pool().release_unused()
+        common.give_back()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.ids"], "n_docs": [len(w.docs)], "n_ids": [w.starts[-1]]})
 
     fs, path = pafs.FileSystem.from_uri(folder)

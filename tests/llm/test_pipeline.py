@@ -1,14 +1,16 @@
 """The pipeline's stages against brute force on a small corpus, with nulls, repeated rows and clashing column names."""
 
+import os
 import random
 import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from logmill.llm import language_id, token_output
+from logmill.llm import common, language_id, token_output
 
 WORDS = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 LANGUAGES = {"aa": [f"l{x}rem{y}" for x in "aeiou" for y in "bdgklm"], "bb": [f"zw{x}rt{y}" for x in "aeiou" for y in "jkqvxz"]}
@@ -114,3 +116,20 @@ def test_empty_tables(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_workers_hold_no_freed_memory_for_later_stages(spark):
+    """A worker outlives its stage; what the stage freed, in pieces between others that stay, goes back to the system."""
+
+    def crumbled(batch):
+        large, small = [], []
+        for i in range(4000):
+            large.append(bytearray(64 << 10))
+            small.append(bytearray(2000))
+        common.kept_by_test = small
+        return pa.RecordBatch.from_pydict({"pid": [os.getpid()]})
+
+    [pid] = [r.pid for r in common.arrow_map(spark.range(1).coalesce(1), crumbled, "pid long").collect()]
+    with open(f"/proc/{pid}/status") as status:
+        held = next(int(x.split()[1]) for x in status if x.startswith("RssAnon")) >> 10
+    assert pid != os.getpid() and held < 150
